@@ -165,15 +165,17 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(small.select(F.col("a"), F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b"), F.col("m"))).distinct())
 
 
-def _verified(edges: DataFrame, source: DataFrame, vertices: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The edges (a, b) whose texts are similar enough, compared by all their shingles."""
-    edges = cut(edges)
-    needed = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "vertex")
+def _elements(source: DataFrame, vertices: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """(vertex, elements, n): all shingles of the needed vertices, each from the text of one of its rows."""
     ids = vertices.join(needed, "vertex", "left_semi").select(F.col("id").alias("want"))
     texts = source.join(ids, source["id"].eqNullSafe(ids["want"]), "left_semi").select("text")
     got = texts.mapInArrow(_shingler(size), "vertex binary, elements array<long>")
-    got = cut(got.join(needed, "vertex", "left_semi").dropDuplicates(["vertex"]))
-    left, right = got.select(F.col("vertex").alias("a"), F.col("elements").alias("x")), got.select(F.col("vertex").alias("b"), F.col("elements").alias("y"))
+    return got.join(needed, "vertex", "left_semi").dropDuplicates(["vertex"]).withColumn("n", F.size("elements"))
+
+
+def _verified(edges: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """The edges (a, b) whose texts are similar enough, compared by all their shingles."""
+    left, right = elements.select(F.col("vertex").alias("a"), F.col("elements").alias("x")), elements.select(F.col("vertex").alias("b"), F.col("elements").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     share = both / (F.size("x") + F.size("y") - both)
     return cut(edges.join(left, "a").join(right, "b").where(share >= threshold).select("a", "b"))
@@ -186,9 +188,11 @@ def near_duplicates(
 
     Classes are the connected components of the relation "weighted Jaccard similarity of ``size``-word shingles is
     at least ``threshold``". Rows of the same words count as one vertex, so a group of copies is never paired up.
-    Every bucket first links its members to its smallest vertex, the strongest such link of each vertex is verified
-    and components are formed; then members outside their bucket's main component meet the members of the others.
-    Pairs whose ends are already connected need no comparison, all other pairs that share a band get one.
+    In every bucket the vertex that shares most bands with others is the center; the strongest link of each vertex to
+    a center is verified and components are formed. What is left are members outside their bucket's main component.
+    Shingles that no other open vertex has bound the similarity that a member can reach with anyone; those that cannot
+    reach the threshold are done, the others meet every member of the other components. Pairs whose ends are already
+    connected need no comparison; every other pair that shares a band is compared or excluded by its bound.
 
     Null texts: each row is a class of its own, named by its id. Texts without words: equal ones form a class. Fewer
     words than ``size``: one shingle of all. Repeated rows and ids: one output row each. Null ids are ignored when
@@ -197,26 +201,39 @@ def near_duplicates(
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     sketch = cut(source.mapInArrow(_sketcher(bands, rows, size), f"id {kind}, vertex binary, bands array<long>"))
-    vertices = cut(sketch.where("vertex is not null").groupBy("vertex").agg(F.min("id").alias("id"), F.count("*").alias("n_copies")))
-    some = sketch.where("vertex is not null and size(bands) > 0")
-    # Of several copies only one row goes on; which one does not matter, their bands are equal.
-    single = some.join(vertices.select(F.col("vertex").alias("v"), F.col("id").alias("i")), (F.col("vertex") == F.col("v")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
-    dealt = single.select("vertex", F.explode("bands").alias("band")).repartition("band")
-    buckets = dealt.groupBy("band").agg(F.min("vertex").alias("center"), F.max("vertex").alias("last")).where("center <> last").drop("last")
-    members = cut(dealt.join(buckets, "band").distinct())
-
-    star = members.where("vertex <> center").groupBy("vertex", "center").count()
+    whole = sketch.where("vertex is not null").groupBy("vertex").agg(F.min("id").alias("id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
+    whole = cut(whole)
+    vertices = whole.drop("bands")
+    dealt = whole.select("vertex", F.explode("bands").alias("band")).repartition("band")
+    members = cut(dealt.join(dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"))
+    reach = members.groupBy("vertex").agg(F.sum("n").alias("reach"))
+    ranked = members.join(reach, "vertex").select("band", "vertex", F.struct("reach", "vertex").alias("rank"))
+    center = ranked.groupBy("band").agg(F.max("rank")["vertex"].alias("center"))
+    star = members.join(center, "band").where("vertex <> center").groupBy("vertex", "center").count()
     best = star.groupBy("vertex").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
     tried = cut(best.select(F.greatest("vertex", "center").alias("a"), F.least("vertex", "center").alias("b")).distinct())
-    first = cut(components(_verified(tried, source, vertices, size, threshold)))
+    elements = cut(_elements(source, vertices, reach.select("vertex"), size))
+    first = cut(components(_verified(tried, elements, threshold)))
 
     placed = cut(members.join(first, "vertex", "left").select("band", "vertex", F.coalesce("component", "vertex").alias("component")))
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
     open_ = placed.join(mixed, "band", "left_semi")
-    home = open_.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("home"))
-    outside = open_.join(home, "band").where("component <> home").select("band", F.col("vertex").alias("v"), F.col("component").alias("c"))
-    crossing = outside.join(open_, "band").where("c <> component").select(F.greatest("v", "vertex").alias("a"), F.least("v", "vertex").alias("b")).distinct()
-    second = _verified(crossing.join(tried, ["a", "b"], "left_anti"), source, vertices, size, threshold)
+    inside = elements.join(open_.select("vertex").distinct(), "vertex", "left_semi")
+    lone = inside.select("vertex", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("k"), F.min("vertex").alias("vertex")).where("k = 1")
+    lone = lone.groupBy("vertex").agg(F.count("*").alias("own"))
+    # cap: the most elements that a vertex can share with another open one.
+    capped = cut(inside.join(lone, "vertex", "left").select("vertex", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("cap")))
+    open_ = cut(open_.join(capped, "vertex"))
+    home = open_.groupBy("band", "component").agg(F.count("*").alias("k"), F.min("n").alias("least"))
+    home = home.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("home"), F.min("least").alias("least"))
+    outside = open_.join(home, "band").where("component <> home")
+    # With the shortest possible partner, but no shorter than what is shared.
+    bound = F.col("cap") / (F.col("n") + F.greatest("least", "cap") - F.col("cap"))
+    outside = outside.where(bound >= threshold - 1e-9).select("band", F.col("vertex").alias("v"), F.col("component").alias("c"), F.col("n").alias("vn"), F.col("cap").alias("vcap"))
+    shared = F.least("cap", "vcap", "n", "vn")
+    crossing = outside.join(open_, "band").where((F.col("c") != F.col("component")) & (shared >= (threshold - 1e-9) * (F.col("n") + F.col("vn") - shared)))
+    crossing = crossing.select(F.greatest("v", "vertex").alias("a"), F.least("v", "vertex").alias("b")).distinct()
+    second = _verified(crossing.join(tried, ["a", "b"], "left_anti"), elements, threshold)
     name = lambda c, to: first.select(F.col("vertex").alias(c), F.col("component").alias(to))
     joined = second.join(name("a", "ca"), "a", "left").join(name("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(joined).select(F.col("vertex").alias("component"), F.col("component").alias("final"))
