@@ -29,19 +29,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where it is unset, as in tests, one is made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where it is unset, as in tests, a folder is made."""
+    context = spark.sparkContext
+    there = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if there is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        there = tempfile.mkdtemp(prefix="checkpoints-")
     if context.getCheckpointDir() is None:
-        there = context.getConf().get("spark.checkpoint.dir")
-        if there is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            there = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(there)
+    return there
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
