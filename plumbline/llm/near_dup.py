@@ -25,6 +25,8 @@ from plumbline.llm.common import chunks, cut
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: 30 bands of 5 coordinates: a pair at the threshold shares no band with probability 7e-6.
 BANDS, ROWS = 30, 5
+#: Holders up to which a shingle counts as rare, so that its holders may be paired.
+RARE = 8
 _GAP = re.compile(rb"[^0-9a-z\x80-\xff]+")
 
 
@@ -190,9 +192,10 @@ def near_duplicates(
     at least ``threshold``". Rows of the same words count as one vertex, so a group of copies is never paired up.
     In every bucket the vertex that shares most bands with others is the center; the strongest link of each vertex to
     a center is verified and components are formed. What is left are members outside their bucket's main component.
-    Shingles that no other open vertex has bound the similarity that a member can reach with anyone; those that cannot
-    reach the threshold are done, the others meet every member of the other components. Pairs whose ends are already
-    connected need no comparison; every other pair that shares a band is compared or excluded by its bound.
+    Shingles that no other open vertex has bound the similarity that such a member can reach with anyone, and rare ones
+    that it can reach with those that share none of them: it meets the holders of its rare shingles and, only if the
+    rest would do, the members of its buckets. Pairs whose ends are already connected need no comparison; every other
+    pair that shares a band is compared or excluded by its bound.
 
     Null texts: each row is a class of its own, named by its id. Texts without words: equal ones form a class. Fewer
     words than ``size``: one shingle of all. Repeated rows and ids: one output row each. Null ids are ignored when
@@ -219,20 +222,37 @@ def near_duplicates(
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
     open_ = placed.join(mixed, "band", "left_semi")
     inside = elements.join(open_.select("vertex").distinct(), "vertex", "left_semi")
-    lone = inside.select("vertex", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("k"), F.min("vertex").alias("vertex")).where("k = 1")
-    lone = lone.groupBy("vertex").agg(F.count("*").alias("own"))
-    # cap: the most elements that a vertex can share with another open one.
-    capped = cut(inside.join(lone, "vertex", "left").select("vertex", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("cap")))
+    # Elements are rare if at most RARE open vertices hold them; own ones have a single holder.
+    held = inside.select("vertex", F.explode("elements").alias("e")).repartition("e")
+    rare = cut(held.join(held.groupBy("e").agg(F.count("*").alias("k")).where(F.col("k") <= RARE), "e"))
+    few = rare.groupBy("vertex").agg(F.count(F.when(F.col("k") == 1, 1)).alias("own"), F.count("*").alias("rare"))
+    # cap: the most elements that a vertex can share with another open one; rcap: with one that shares no rare element.
+    zero = F.lit(0)
+    capped = inside.join(few, "vertex", "left").select("vertex", "n", (F.col("n") - F.coalesce("own", zero)).alias("cap"), (F.col("n") - F.coalesce("rare", zero)).alias("rcap"))
     open_ = cut(open_.join(capped, "vertex"))
     home = open_.groupBy("band", "component").agg(F.count("*").alias("k"), F.min("n").alias("least"))
     home = home.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("home"), F.min("least").alias("least"))
     outside = open_.join(home, "band").where("component <> home")
-    # With the shortest possible partner, but no shorter than what is shared.
-    bound = F.col("cap") / (F.col("n") + F.greatest("least", "cap") - F.col("cap"))
-    outside = outside.where(bound >= threshold - 1e-9).select("band", F.col("vertex").alias("v"), F.col("component").alias("c"), F.col("n").alias("vn"), F.col("cap").alias("vcap"))
+    # The similarity that is left with the shortest possible partner, but no shorter than what is shared.
+    bound = lambda cap: F.col(cap) / (F.col("n") + F.greatest("least", cap) - F.col(cap)) >= threshold - 1e-9
+    outside = outside.where(bound("cap")).select("band", F.col("vertex").alias("v"), F.col("component").alias("c"), F.col("n").alias("vn"), F.col("cap").alias("vcap"), bound("rcap").alias("wide"))
+    outside = cut(outside)
+    other = F.col("c") != F.col("component")
     shared = F.least("cap", "vcap", "n", "vn")
-    crossing = outside.join(open_, "band").where((F.col("c") != F.col("component")) & (shared >= (threshold - 1e-9) * (F.col("n") + F.col("vn") - shared)))
-    crossing = crossing.select(F.greatest("v", "vertex").alias("a"), F.least("v", "vertex").alias("b")).distinct()
+    enough = shared >= (threshold - 1e-9) * (F.col("n") + F.col("vn") - shared)
+    # First the partners that share a rare element: at most RARE for each. Then, for the few vertices that could reach
+    # the threshold without one, all members of their buckets, every pair in the first bucket that it shares.
+    several = rare.where("k > 1").select("e", "vertex")
+    facts = open_.select("vertex", "component", "n", "cap").distinct()
+    lone = outside.select("v", "c", "vn", "vcap").distinct()
+    near = lone.join(several.withColumnRenamed("vertex", "v"), "v").join(several, "e").join(facts, "vertex").where(other & enough).select("v", "vertex")
+    wide = outside.where("wide")
+    there = open_.join(wide.select("band").distinct(), "band", "left_semi")
+    dealt_to = there.groupBy("vertex").agg(F.collect_set("band").alias("bands"))
+    left = wide.join(dealt_to.withColumnsRenamed({"vertex": "v", "bands": "vbands"}), "v")
+    first_shared = F.array_min(F.array_intersect("bands", "vbands")) == F.col("band")
+    far = left.join(there.join(dealt_to, "vertex"), "band").where(other & enough & first_shared).select("v", "vertex")
+    crossing = near.union(far).select(F.greatest("v", "vertex").alias("a"), F.least("v", "vertex").alias("b")).distinct()
     second = _verified(crossing.join(tried, ["a", "b"], "left_anti"), elements, threshold)
     name = lambda c, to: first.select(F.col("vertex").alias(c), F.col("component").alias(to))
     joined = second.join(name("a", "ca"), "a", "left").join(name("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
