@@ -48,6 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a table of ids is broadcast.
+MOST_BROADCAST = 1_000_000
+
+
+def counted(ids: DataFrame) -> DataFrame:
+    """``ids`` (narrow rows, written first), to be broadcast if they are at most MOST_BROADCAST, else joined as any table."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
 def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts that hold about ``limit`` characters each."""
     low, size = 0, 0

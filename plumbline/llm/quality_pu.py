@@ -53,11 +53,11 @@ class Model:
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, label = batch.column(0).to_pylist(), batch.column(1)
+        texts, ids = batch.column(0).to_pylist(), batch.column(1)
         for a, b in chunks(texts):
             x = inputs(texts[a:b]).astype(np.float32)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([label.slice(a, b - a), flat], ["positive", "x"])
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), flat], ["id", "x"])
 
 
 def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +96,10 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, prio
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("mark")).where("id is not null and mark is not null")
     marks = marks.groupBy("id").agg(F.max("mark").alias("mark"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(admitted)
-    data = cut(rows.join(marks, "id", "left").select("text", (F.coalesce("mark", F.lit(0)) == 1).alias("positive")).mapInArrow(_featurize, "positive boolean, x array<float>"))
+    # Texts are never shuffled: the join with the labels moves their statistics only.
+    kind = rows.schema["id"].dataType.simpleString()
+    stats = rows.select("text", "id").mapInArrow(_featurize, f"id {kind}, x array<float>")
+    data = cut(stats.join(marks, "id", "left").select((F.coalesce("mark", F.lit(0)) == 1).alias("positive"), "x"))
     if prior is None:
         ones, all_ = marks.where(admitted).agg(F.coalesce(F.sum((F.col("mark") == 1).cast("int")), F.lit(0)), F.count("*")).first()
         prior = (ones + 1) / (all_ + 2)
