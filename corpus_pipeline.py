@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, near_dup, packing, quality_pu, secrets
-from plumbline.llm.common import shared_folder, table
+from plumbline.llm.common import counted, cut, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,23 +23,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id."""
-    classes = near_dup.near_duplicates(docs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "kept__")
-    names = docs.columns
-    # Repeated rows of an id are copies of one another or else the first in order of texts stays.
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept__"]), "left_semi")
-    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n__"), F.min("text").alias("text__")).where("n__ > 1").drop("n__")
-    repeated = repeated.withColumnRenamed("doc_id", "id__")
-    single = rows.join(repeated, rows["doc_id"].eqNullSafe(repeated["id__"]), "left_anti")
-    first = rows.join(repeated, rows["doc_id"].eqNullSafe(repeated["id__"]) & rows["text"].eqNullSafe(repeated["text__"])).select(names).dropDuplicates(["doc_id"])
-    return single.select(names).union(first)
+    """Of each class of near copies the document with the smallest id.
+
+    Of repeated rows of a kept id, the one with the smallest text stays; rows without an id cannot be told and stay.
+    """
+    classes = near_dup.near_duplicates(docs).where("doc_id is not null")
+    told = cut(classes.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
+    drop = counted(told.select(F.col("doc_id").alias("drop__")))
+    single = docs.join(drop, docs["doc_id"] == drop["drop__"], "left_anti")
+    repeated = told.where("kept and n > 1").select(F.col("doc_id").alias("again__"))
+    if repeated.isEmpty():
+        return single
+    again = counted(repeated)
+    rows = docs.join(again, docs["doc_id"] == again["again__"], "left_semi")
+    first = rows.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("r__"))
+    return single.union(first.select([F.col("r__")[c].alias(c) for c in docs.columns]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; of repeated ids, none if one of their texts does."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    dirty = found.where("contaminated").select(F.col("doc_id").alias("dirty__")).distinct()
+    dirty = counted(found.where("contaminated").select(F.col("doc_id").alias("dirty__")).distinct())
     return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["dirty__"]), "left_anti")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bytewords import GOLDEN, combine, group_hash, mix, windows, words
-from plumbline.llm.common import chunks, cut
+from plumbline.llm.common import chunks, counted, cut
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: 30 bands of 5 coordinates: a pair at the threshold shares no band with probability 7e-6.
@@ -169,7 +169,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _elements(source: DataFrame, vertices: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     """(vertex, elements, n): all shingles of the needed vertices, each from the text of one of its rows."""
-    ids = vertices.join(needed, "vertex", "left_semi").select(F.col("id").alias("want"))
+    ids = counted(vertices.join(needed, "vertex", "left_semi").select(F.col("id").alias("want")))
     texts = source.join(ids, source["id"].eqNullSafe(ids["want"]), "left_semi").select("text")
     got = texts.mapInArrow(_shingler(size), "vertex binary, elements array<long>")
     return got.join(needed, "vertex", "left_semi").dropDuplicates(["vertex"]).withColumn("n", F.size("elements"))
