@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import rings, scalar
-from plumbline.operators import cells, ordered, solids, spatial
+from plumbline.operators import cells, ordered, solids, spatial, tiles
 from plumbline.plans.fixtures import BOXES_SQL, DETECTIONS_SQL, LINES_SQL, POINTS_SQL, boxes, detections, lines, points, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,7 +61,7 @@ def a03_cell_hist(spark, d):
     return cells.cell_histogram(points(spark, d).where(F.col("cls").isin(*MASK)), KNOBS)
 
 
-@query(f"WITH {CELLS_SQL} SELECT ci, cj, n, round(z_range, 6) AS z_range, round(z_mode, 6) AS z_mode, round(dominance, 6) AS dominance FROM cells")
+@query(f"WITH {CELLS_SQL} SELECT ci, cj, n, round(z_range, 6) AS z_range, CAST(z_mode AS DOUBLE) AS z_mode, round(dominance, 6) AS dominance FROM cells")
 def a04_cell_mode(spark, d):
     out = cells.cell_decisions(cells.cell_histogram(points(spark, d).where(F.col("cls").isin(*MASK)), KNOBS), KNOBS)
     return out.select("ci", "cj", "n", r6("z_range"), r6("z_mode"), r6("dominance"))
@@ -475,3 +475,33 @@ def f12_quarantine(spark, d):
 def a03_bulk_cells(spark, d):
     li = table(spark, d, "lineitem").select((F.col("l_extendedprice") / 1000).alias("x"), F.col("l_quantity").alias("y"), (F.col("l_discount") * 100).alias("z"))
     return li.groupBy(F.floor("x").cast("int").alias("ci"), F.floor("y").cast("int").alias("cj")).agg(F.count("*").alias("n"), F.min("z").alias("zmin"), F.max("z").alias("zmax"))
+
+
+# --- kernels ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {POINTS_SQL}, c AS (SELECT DISTINCT CAST(floor(y / 24) AS INT) AS row, CAST(floor(x / 5) AS INT) AS col FROM points WHERE cls = 'error' AND z > 200), r AS (SELECT row, col, row * 30 + col AS root FROM c UNION SELECT n.row, n.col, r.root FROM r JOIN c n ON abs(n.row - r.row) <= 1 AND abs(n.col - r.col) <= 1) SELECT row, col, CAST(min(root) AS BIGINT) AS component FROM r GROUP BY row, col")
+def m06_components(spark, d):
+    return tiles.components(cells.rasterize(points(spark, d).where("cls = 'error' and z > 200"), *pixel(), "max"), 30, 8)
+
+
+@query(f"WITH {POINTS_SQL}, o AS (SELECT i, j FROM range(-3, 4) a(i), range(-3, 4) b(j) WHERE i * i + j * j <= 9), c AS (SELECT DISTINCT {_GRID} FROM points WHERE cls = 'error' AND z > 200), g AS (SELECT DISTINCT row + i AS row, col + j AS col FROM c, o) SELECT * FROM (SELECT CAST(g.row - i AS INT) AS row, CAST(g.col - j AS INT) AS col FROM g, o GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM o)) WHERE row BETWEEN 0 AND 29 AND col BETWEEN 0 AND 29")
+def m03_closing_tiles(spark, d):
+    c = cells.rasterize(points(spark, d).where("cls = 'error' and z > 200"), *pixel(), "max")
+    return tiles.closed(c, 3, 8, (30, 30))
+
+
+@query()
+def m10_fill_nearest(spark, d):
+    return tiles.filled(cells.rasterize(ground(spark, d).where("z > 150"), *pixel(), "min"), 30)
+
+
+@query()
+def a33_hulls(spark, d):
+    h = tiles.hulls(points(spark, d).select("cls", F.floor("x").alias("x"), F.floor("y").alias("y")), "cls")
+    return h.select("cls", F.size("ring").alias("n"), F.round(rings.area2(F.col("ring")) / 2, 3).alias("area"))
+
+
+@query()
+def m15_oriented_lines(spark, d):
+    return tiles.oriented_lines(lines(spark, d).withColumn("weight", F.lit(1.0)), "building")
