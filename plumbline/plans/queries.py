@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import rings, scalar
-from plumbline.operators import cells, ordered, solids, spatial, tiles
+from plumbline.operators import cells, detect, ordered, solids, spatial, tiles
 from plumbline.plans.fixtures import BOXES_SQL, DETECTIONS_SQL, LINES_SQL, POINTS_SQL, boxes, detections, lines, points, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -505,3 +505,58 @@ def a33_hulls(spark, d):
 @query()
 def m15_oriented_lines(spark, d):
     return tiles.oriented_lines(lines(spark, d).withColumn("weight", F.lit(1.0)), "building")
+
+
+# --- line detection ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {POINTS_SQL}, h AS (SELECT cls AS img, {_GRID}, 1 / (1 + exp(-max((z - 200) / 100.0))) AS v FROM points GROUP BY 1, 2, 3), m AS (SELECT a.img, a.row, a.col, a.v FROM h a JOIN h b ON a.img = b.img AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2, 3, 4 HAVING a.v = max(b.v)), k AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY v DESC, row, col) AS r FROM m) SELECT img, round(v, 6) AS score, (col - row)::DOUBLE * 2 AS x1, row::DOUBLE * 2 AS y1, (col + row)::DOUBLE * 2 AS x2, (row + 3)::DOUBLE * 2 AS y2 FROM k WHERE r <= 50 AND v > 0.1 AND sqrt(4.0 * row * row + 9) > 20")
+def l05_decode_lines(spark, d):
+    p = points(spark, d).withColumn("img", F.col("cls")).withColumn("z", (F.col("z") - 200) / 100.0)
+    heat = cells.rasterize(p, *pixel(), "max", keys=("img",)).select("img", "row", "col", F.col("z").alias("v"), (-F.col("row")).alias("dx0"), F.lit(0.0).alias("dy0"), F.col("row").cast("double").alias("dx1"), F.lit(3.0).alias("dy1"))
+    return detect.decode_lines(heat, 0.1, 20.0, 50).select("img", r6("score"), "x1", "y1", "x2", "y2")
+
+
+_CROSS = f"{LINES_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY building ORDER BY line) AS k, y2 - y1 AS a, x1 - x2 AS b, (y2 - y1) * x1 + (x1 - x2) * y1 AS c FROM lines WHERE building < 20), t AS (SELECT * FROM l WHERE k <= 12), cross_ AS (SELECT p.building, p.line AS la, q.line AS lb, (q.b * p.c - p.b * q.c) / (p.a * q.b - q.a * p.b) AS x, (p.a * q.c - q.a * p.c) / (p.a * q.b - q.a * p.b) AS y FROM t p JOIN t q ON p.building = q.building AND p.line < q.line WHERE abs(p.a * q.b - q.a * p.b) > 1e-9)"
+
+
+def few_lines(spark, d):
+    return ordered.top_k(lines(spark, d).where("building < 20"), 12, [F.col("line")], ("building",))
+
+
+@query(f"WITH {_CROSS} SELECT building, la AS a, lb AS b, CAST(round(x * 100) AS BIGINT) AS x, CAST(round(y * 100) AS BIGINT) AS y FROM cross_ WHERE abs(x) < 1000 AND abs(y) < 1000")
+def j16_intersections(spark, d):
+    out = detect.intersections(few_lines(spark, d), "building").where("abs(x) < 1000 and abs(y) < 1000")
+    return out.select("building", "a", "b", F.round(F.col("x") * 100).cast("long").alias("x"), F.round(F.col("y") * 100).cast("long").alias("y"))
+
+
+@query(f"WITH {_CROSS}, k AS (SELECT building, la, lb FROM cross_ WHERE x BETWEEN 0 AND 720 AND y BETWEEN 0 AND 490), u AS (SELECT building, la AS a, lb AS b FROM k UNION ALL SELECT building, lb, la FROM k) SELECT p.building, p.a AS l0, p.b AS l1, q.b AS l2, r.b AS l3 FROM u p JOIN u q ON p.building = q.building AND p.b = q.a JOIN u r ON r.building = q.building AND q.b = r.a JOIN u s ON s.building = r.building AND r.b = s.a AND s.b = p.a WHERE p.a < p.b AND q.b > p.a AND q.b <> p.b AND r.b > p.b AND r.b <> q.b")
+def j17_squares(spark, d):
+    corners = detect.intersections(few_lines(spark, d), "building").where("x between 0 and 720 and y between 0 and 490")
+    return detect.squares(corners, "building")
+
+
+@query("WITH t AS (SELECT CASE WHEN page_id % 7 = 0 THEN 'tile_x_' || page_id ELSE 'tile_' || (page_id % 5) * 40 || '_' || (page_id % 3) * 40 || '.png' END AS name, CAST(page_id % 40 AS INT) AS r, CAST(page_id * 7 % 40 AS INT) AS c, page_id * 13 % 256 AS v FROM pages) SELECT DISTINCT CAST(regexp_extract(name, '^tile_(\\d+)_(\\d+)', 2) AS INT) + r AS row, CAST(regexp_extract(name, '^tile_(\\d+)_(\\d+)', 1) AS INT) + c AS col FROM t WHERE v > 127 AND name NOT LIKE 'tile_x%' AND CAST(regexp_extract(name, '^tile_(\\d+)_(\\d+)', 2) AS INT) + r < 110 AND CAST(regexp_extract(name, '^tile_(\\d+)_(\\d+)', 1) AS INT) + c < 180")
+def s12_mosaic(spark, d):
+    i = F.col("page_id")
+    good = F.concat(F.lit("tile_"), (i % 5 * 40).cast("string"), F.lit("_"), (i % 3 * 40).cast("string"), F.lit(".png"))
+    t = table(spark, d, "pages").select(F.when(i % 7 == 0, F.concat(F.lit("tile_x_"), i.cast("string"))).otherwise(good).alias("name"), (i % 40).cast("int").alias("r"), (i * 7 % 40).cast("int").alias("c"), (i * 13 % 256).alias("v"))
+    return detect.mosaic(t, 180, 110)
+
+
+@query(f"WITH {POINTS_SQL}, c AS (SELECT {_GRID}, max(z) AS z FROM points WHERE cls = 'error' GROUP BY 1, 2) SELECT CAST(a.i AS INT) AS row, CAST(b.j AS INT) AS col, z FROM range(0, 45) a(i), range(0, 20) b(j), c WHERE c.row = floor((a.i + 0.5) / 1.5) AND c.col = floor((b.j + 0.5) * 1.5)")
+def m11_reproject(spark, d):
+    c = cells.rasterize(points(spark, d).where("cls = 'error'"), *pixel(), "max")
+    return detect.resample(c, F.sequence(F.lit(0), F.lit(44)), F.sequence(F.lit(0), F.lit(19)), 30, 30, 1 / 1.5, 1.5)
+
+
+@query(f"WITH {POINTS_SQL}, {BOXES_SQL} SELECT box, count(*) AS n, round(avg(CASE WHEN least(x - x0, x1 - x, y - y0, y1 - y) <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS edge, round(1.0 / (count(*) + 1), 9) AS complexity FROM points JOIN boxes ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY box")
+def a23_edge_share(spark, d):
+    inside = spatial.points_in_boxes(points(spark, d), boxes(spark, d), 30.0, 144.0)
+    return detect.edge_share(inside, 3.0).select("box", "n", r6("edge"), F.round(1.0 / (F.col("n") + 1), 9).alias("complexity"))
+
+
+@query(f"WITH {POINTS_SQL}, c AS (SELECT DISTINCT CAST(floor(y * 7) AS INT) AS row, CAST(floor(x * 11) AS INT) AS col FROM points WHERE z > 150), g AS (SELECT (SELECT quantile_cont(g, 0.5) FROM (SELECT row - lag(row) OVER (ORDER BY row) AS g FROM (SELECT DISTINCT row FROM c))) AS dr, (SELECT quantile_cont(g, 0.5) FROM (SELECT col - lag(col) OVER (ORDER BY col) AS g FROM (SELECT DISTINCT col FROM c))) AS dc), s AS (SELECT dc >= dr AS horizontal, greatest(5, least(31, CAST(round(greatest(dr, dc)) AS INT))) AS k FROM g) SELECT horizontal, CASE WHEN k % 2 = 0 THEN k + 1 ELSE k END AS size FROM s")
+def a28_stripe(spark, d):
+    c = points(spark, d).where("z > 150").select(F.floor(F.col("y") * 7).cast("int").alias("row"), F.floor(F.col("x") * 11).cast("int").alias("col"))
+    return detect.stripe_size(c)
