@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,3 +134,55 @@ def bbox_overlap(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1, grow: float = 0.0) -> C
 
 def suspicion(gain: Column, raw: Column, edge: Column, threshold: float) -> Column:
     return gain * 2 + F.greatest(F.lit(0.0), F.lit(threshold) - raw) + edge * 0.5
+
+
+def vector_angle(ux: Column, uy: Column, vx: Column, vy: Column) -> Column:
+    """Radians between two vectors; pi if one has no length."""
+    n = F.sqrt(ux * ux + uy * uy) * F.sqrt(vx * vx + vy * vy)
+    return F.when(n < 1e-12, F.lit(math.pi)).otherwise(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (ux * vx + uy * vy) / n))))
+
+
+def midpoint(a: Column, b: Column, whole: bool = False) -> Column:
+    return F.floor((a + b) / 2) if whole else (a + b) / 2
+
+
+def rescale(value: Column, source: float, target: float, whole: bool = False) -> Column:
+    """A coordinate on a map of another size; ``whole`` truncates."""
+    out = value * (target / source)
+    return out.cast("int") if whole else out
+
+
+def nearest_center(angle: Column, centers: list[float]) -> Column:
+    """Index of the center that is nearest modulo 180, the lowest of equals."""
+    gaps = F.array(*[angle_difference(angle, F.lit(float(c))) for c in centers])
+    return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+
+
+def splat_pixels(q75: Column, pixel: float, tag: Column, factor: float = 0.75, least: int = 2, most: int = 5) -> Column:
+    """Pixels to splat by; only clouds tagged non_ground are splatted."""
+    wide = F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(q75 * factor / pixel).cast("int")))
+    return F.when(F.contains(tag, F.lit("non_ground")), wide).otherwise(0)
+
+
+def learning_rate(step: Column, base: float, milestones: list[int], gamma: float = 0.1, warmup_factor: float = 1 / 3, warmup_steps: int = 500) -> Column:
+    """Linear warm-up, then a factor ``gamma`` at every milestone that is reached."""
+    part = step / F.lit(warmup_steps)
+    warm = F.when(step < warmup_steps, (1 - part) * warmup_factor + part).otherwise(1.0)
+    reached = sum(((step >= m).cast("int") for m in milestones), F.lit(0))
+    return warm * base * F.pow(F.lit(gamma), reached)
+
+
+def focal_loss(logit: str, truth: str, alpha: float = 2.0, beta: float = 4.0) -> Column:
+    """Aggregate: focal loss of logits against truths in [0, 1], over the number of truths that are 1 if there are any."""
+    p, t = 1 / (1 + F.exp(-F.col(logit))), F.col(truth)
+    pos, neg = F.when(t == 1, F.log(p) * F.pow(1 - p, F.lit(alpha))), F.when(t < 1, F.log(1 - p) * F.pow(p, F.lit(alpha)) * F.pow(1 - t, F.lit(beta)))
+    zero, ones = F.lit(0.0), F.count(F.when(t == 1, 1))
+    return -(F.coalesce(F.sum(pos), zero) + F.coalesce(F.sum(neg), zero)) / F.greatest(ones, F.lit(1))
+
+
+def weighted_bce(logit: str, truth: str, positive: float = 1.0, negative: float = 30.0) -> Column:
+    """Aggregate: binary cross-entropy of logits, averaged apart over truths that are not 0 and those that are."""
+    z, t = F.col(logit), F.col(truth)
+    loss = F.greatest(z, F.lit(0.0)) - z * t + F.log1p(F.exp(-F.abs(z)))
+    mean = lambda c: F.coalesce(F.sum(F.when(c, loss)), F.lit(0.0)) / (F.count(F.when(c, 1)) + 1e-5)
+    return mean(t != 0) * positive + mean(t == 0) * negative

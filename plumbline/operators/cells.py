@@ -116,3 +116,12 @@ def splat_radius(q75: float, pixel: float, tag: str, factor: float = 0.75, least
     import math
 
     return min(most, max(least, math.ceil(q75 * factor / pixel))) if "non_ground" in tag else 0
+
+
+def without_shared(upper: DataFrame, ground: DataFrame, reach: int) -> DataFrame:
+    """Cells of ``upper`` that are not within ``reach`` steps of a cell which both tables hold (power lines over ground).
+
+    Expects the ground as measured: one whose gaps are filled would take every cell away.
+    """
+    both = upper.select("row", "col").join(ground.select("row", "col"), ["row", "col"], "left_semi")
+    return upper.join(dilate(both, reach) if reach else both, ["row", "col"], "left_anti")

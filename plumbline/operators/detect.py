@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.graph import cut
 from plumbline.operators.ordered import local_maxima, top_k
 
 
@@ -38,7 +39,8 @@ def squares(corners: DataFrame, key: str) -> DataFrame:
 
     A corner (key, a, b) is a meeting of two lines. Every cycle is told once: l0 is its smallest line, l1 < l3.
     """
-    both = corners.select(key, "a", "b").union(corners.select(key, F.col("b").alias("a"), F.col("a").alias("b")))
+    corners = cut(corners.select(key, "a", "b"))
+    both = corners.union(corners.select(key, F.col("b").alias("a"), F.col("a").alias("b")))
     step = lambda i: both.select(key, F.col("a").alias(f"l{i}"), F.col("b").alias(f"l{i + 1}"))
     chain = step(0).where("l0 < l1").join(step(1), [key, "l1"]).where("l2 > l0 and l2 <> l1").join(step(2), [key, "l2"]).where("l3 > l1 and l3 <> l2")
     last = both.select(key, F.col("a").alias("l3"), F.col("b").alias("l0"))
@@ -85,3 +87,125 @@ def stripe_size(cells: DataFrame, most: int = 31) -> DataFrame:
     both = gap("row").join(gap("col"), F.lit(True))
     size = F.greatest(F.lit(5), F.least(F.lit(most), F.round(F.greatest("drow", "dcol")).cast("int")))
     return both.select((F.col("dcol") >= F.col("drow")).alias("horizontal"), F.when(size % 2 == 0, size + 1).otherwise(size).alias("size"))
+
+
+def off_invalid(lines: DataFrame, valid: DataFrame, height: int, width: int, most: int = 2, keys: tuple[str, ...] = ("building",)) -> DataFrame:
+    """``lines`` that cross fewer than ``most`` pixels without a row in ``valid`` (row, col); pixels outside do not count.
+
+    Ends are truncated to pixels, and a line's pixels are those of its longer axis, one a step.
+    """
+    c = F.col
+    ends = lines.select(*keys, "line", *[c(v).cast("int").alias(v) for v in ("x1", "y1", "x2", "y2")])
+    n = F.greatest(F.abs(c("x2") - c("x1")), F.abs(c("y2") - c("y1")))
+    steps = ends.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), c("n"))))
+    at = lambda a, b: F.when(c("n") == 0, c(a)).otherwise(c(a) + F.floor((2 * c("k") * (c(b) - c(a)) + c("n")) / (2 * c("n")))).cast("int")
+    pixels = steps.select(*keys, "line", at("y1", "y2").alias("row"), at("x1", "x2").alias("col"))
+    pixels = pixels.where(c("row").between(0, height - 1) & c("col").between(0, width - 1))
+    bad = pixels.join(valid.select("row", "col").distinct(), ["row", "col"], "left_anti").groupBy(*keys, "line").agg(F.count("*").alias("bad"))
+    return lines.join(bad.where(c("bad") >= most).select(*keys, "line"), [*keys, "line"], "left_anti")
+
+
+def _reach(side: str, x: Column, y: Column) -> tuple[Column, ...]:
+    """(length, nearer, farther, degrees) of a segment seen from a point; degrees lead to the farther end."""
+    c = lambda n: F.col(f"{side}{n}")
+    gap = lambda ax, ay, bx, by: F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
+    one, two = gap(c("x1"), c("y1"), x, y), gap(c("x2"), c("y2"), x, y)
+    dx, dy = F.when(one > two, c("x1")).otherwise(c("x2")) - x, F.when(one > two, c("y1")).otherwise(c("y2")) - y
+    return gap(c("x1"), c("y1"), c("x2"), c("y2")), F.least(one, two), F.greatest(one, two), F.pmod(F.degrees(F.atan2(dy, dx)) + 360, F.lit(360.0))
+
+
+def corners(lines: DataFrame, key: str, outside: float = 0.1, inside: float = 0.3, line: str = "line") -> DataFrame:
+    """Meetings of two lines of a building that look like a corner of a square: key, a, b, x, y, kind 0 to 3 and, for
+    both lines, the length (la, lb), the distance to the nearer end (na, nb) and whether the corner lies beyond it.
+
+    The directions must differ by 60 to 120 degrees. The corner may lie beyond a line's end by ``outside`` of its
+    length or short of it by ``inside``. kind is the quadrant of the two directions; other corners are left out.
+    """
+    c = F.col
+    met = intersections(lines, key, line)
+    ends = ("x1", "y1", "x2", "y2")
+    for side in "ab":
+        met = met.join(lines.select(key, F.col(line).alias(side), *[c(e).alias(f"{side}{e}") for e in ends]), [key, side])
+    for side in "ab":
+        length, near, far, degrees = _reach(side, c("x"), c("y"))
+        met = met.withColumns({f"l{side}": length, f"n{side}": near, f"f{side}": far, f"d{side}": degrees})
+    turn = F.abs(c("da") - c("db"))
+    turn = F.when(turn > 180, 360 - turn).otherwise(turn)
+    fits = lambda s: ((c(f"f{s}") >= c(f"l{s}")) & (c(f"n{s}") <= c(f"l{s}") * outside)) | ((c(f"f{s}") <= c(f"l{s}")) & (c(f"n{s}") <= c(f"l{s}") * inside))
+    low, high = F.least("da", "db"), F.greatest("da", "db")
+    kind = (
+        F.when((low.between(0, 45) & high.between(45, 120)) | ((high >= 315) & low.between(45, 120)), 0)
+        .when(low.between(45, 125) & high.between(125, 225), 1)
+        .when(low.between(125, 225) & high.between(225, 315), 2)
+        .when((low.between(0, 45) & high.between(225, 315)) | ((high >= 315) & low.between(225, 315)), 3)
+    )
+    told = met.where((turn > 60) & (turn < 120) & fits("a") & fits("b")).withColumn("kind", kind).where("kind is not null")
+    return told.select(key, "a", "b", "x", "y", "kind", "la", "na", (c("fa") > c("la")).alias("oa"), "lb", "nb", (c("fb") > c("lb")).alias("ob"))
+
+
+#: The weights of a square's scores.
+SQUARE_WEIGHTS = {"overlap": 0.0, "degree": 1.0, "area": 10.0, "center": 0.5, "length": 1.0}
+
+
+def scored_squares(corners: DataFrame, key: str, size: float = 512.0, weights: dict[str, float] | None = None) -> DataFrame:
+    """(key, l01, l12, l23, l30, xs, ys, overlap, degree, length, area, center, score) of cycles of corners of kind
+    0, 1, 2, 3, each of which shares one line with the next.
+
+    overlap: share of the perimeter that lines cover, over the building's best; degree and length: likeness of opposite
+    angles and sides; area over a quarter of size squared; center: distance of the square's own middle from the map's.
+    """
+    c, w = F.col, SQUARE_WEIGHTS | (weights or {})
+    corners = cut(corners)
+    turned = [("a", "b"), ("b", "a")]
+    flat = None
+    for p, q in turned:
+        one = corners.select(key, "kind", c(p).alias("p"), c(q).alias("q"), "x", "y", *[c(f"{n}{s}").alias(f"{n}{t}") for s, t in ((p, "p"), (q, "q")) for n in "lno"])
+        flat = one if flat is None else flat.union(one)
+    part = lambda i: flat.where(c("kind") == i).select(key, *[c(n).alias(f"{n}{i}") for n in ("p", "q", "x", "y", "lp", "np", "op", "lq", "nq", "oq")])
+    s = part(0)
+    for i in (1, 2):
+        nxt = part(i).withColumnRenamed(key, "key__")
+        s = s.join(nxt, (c(key) == c("key__")) & (c(f"q{i - 1}") == c(f"p{i}"))).drop("key__")
+    last = part(3).withColumnRenamed(key, "key__")
+    s = s.join(last, (c(key) == c("key__")) & (c("q2") == c("p3")) & (c("q3") == c("p0"))).drop("key__")
+    s = s.where(F.size(F.array_distinct(F.array("q0", "q1", "q2", "q3"))) == 4)
+    cover, perimeter, sides = F.lit(0.0), F.lit(0.0), []
+    for i in range(4):  # the side from corner i to the next lies on line q_i
+        j = (i + 1) % 4
+        own = [(c(f"oq{i}"), c(f"nq{i}")), (c(f"op{j}"), c(f"np{j}"))]
+        covered = c(f"lq{i}") + sum((F.when(out, 0.0).otherwise(-near) for out, near in own), F.lit(0.0))
+        side = c(f"lq{i}") + sum((F.when(out, near).otherwise(-near) for out, near in own), F.lit(0.0))
+        cover, perimeter = cover + covered, perimeter + side
+        sides.append(side)
+
+    def angle(i: int) -> Column:
+        h, j = (i - 1) % 4, (i + 1) % 4
+        ux, uy, vx, vy = c(f"x{h}") - c(f"x{i}"), c(f"y{h}") - c(f"y{i}"), c(f"x{j}") - c(f"x{i}"), c(f"y{j}") - c(f"y{i}")
+        cos = (ux * vx + uy * vy) / (F.sqrt(ux * ux + uy * uy) * F.sqrt(vx * vx + vy * vy) + 1e-10)
+        return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
+
+    alike = lambda a, b: F.least(a, b) / F.greatest(a, b)
+    area = sum((c(f"x{i}") * c(f"y{(i + 1) % 4}") - c(f"y{i}") * c(f"x{(i + 1) % 4}") for i in range(4)), F.lit(0.0))
+    mx, my = (sum((c(f"{v}{i}") for i in range(4)), F.lit(0.0)) / 4 for v in "xy")
+    half = size / 2
+    s = s.select(
+        key, c("q0").alias("l01"), c("q1").alias("l12"), c("q2").alias("l23"), c("q3").alias("l30"), F.array(*[f"x{i}" for i in range(4)]).alias("xs"), F.array(*[f"y{i}" for i in range(4)]).alias("ys"),
+        (cover / perimeter).alias("overlap"), ((alike(angle(0), angle(2)) + alike(angle(1), angle(3))) / 2).alias("degree"), ((alike(sides[0], sides[2]) + alike(sides[1], sides[3])) / 2).alias("length"),
+        (F.abs(area) * 0.5 / (half * half)).alias("area"), (F.sqrt((mx - 128) * (mx - 128) + (my - 128) * (my - 128)) / (half / 2**0.5)).alias("center"),
+    )
+    s = cut(s)
+    best = s.groupBy(key).agg(F.max("overlap").alias("best__"))
+    s = s.join(best, key).withColumn("overlap", c("overlap") / c("best__")).drop("best__")
+    score = c("overlap") * w["overlap"] + c("degree") * w["degree"] + c("area") * w["area"] - c("center") * w["center"] + c("length") * w["length"]
+    return s.withColumn("score", score)
+
+
+def nearest_match(left: DataFrame, right: DataFrame, threshold: float, key: str = "image") -> DataFrame:
+    """Every left line (key, id, x1..y2) with the right line whose two ends lie nearest in sum, the smallest id of
+    equals, and matched: both of those ends are nearer than the threshold. An image's lines are few."""
+    ends = ("x1", "y1", "x2", "y2")
+    r = right.select(key, F.col("id").alias("other"), *[F.col(e).alias(f"r{e}") for e in ends])
+    gap = lambda i: F.sqrt((F.col(f"x{i}") - F.col(f"rx{i}")) * (F.col(f"x{i}") - F.col(f"rx{i}")) + (F.col(f"y{i}") - F.col(f"ry{i}")) * (F.col(f"y{i}") - F.col(f"ry{i}")))
+    pairs = left.join(r, key).select(key, "id", "other", gap(1).alias("d1"), gap(2).alias("d2"))
+    best = pairs.groupBy(key, "id").agg(F.min(F.struct((F.col("d1") + F.col("d2")).alias("d"), "other", "d1", "d2")).alias("m"))
+    return best.select(key, "id", F.col("m.other").alias("other"), F.col("m.d").alias("d"), ((F.col("m.d1") < threshold) & (F.col("m.d2") < threshold)).alias("matched"))

@@ -318,16 +318,20 @@ def _circle(ps: np.ndarray, t: tuple[int, int, int]) -> tuple[float, float, floa
     return x, y, (ax - x) ** 2 + (ay - y) ** 2
 
 
-def alpha_area(points: np.ndarray, alpha: float) -> float:
-    """Area of the triangles whose circumradius is at most 1 / alpha."""
+def alpha_areas(points: np.ndarray, alphas: list[float]) -> list[float]:
+    """For each alpha, the area of the triangles whose circumradius is at most 1 / alpha."""
     points = np.unique(points, axis=0)
-    area = 0.0
-    for t in delaunay(points):
-        circle = _circle(points, tuple(t))
-        if circle and circle[2] <= 1 / (alpha * alpha):
-            a, b, c = points[t]
-            area += abs((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])) / 2
-    return area
+    kept = [(t, circle[2]) for t in delaunay(points) if (circle := _circle(points, tuple(t)))]
+    if not kept:
+        return [0.0] * len(alphas)
+    a, b, c = points[np.array([t for t, _ in kept])].transpose(1, 0, 2)
+    area = np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])) / 2
+    radius2 = np.array([r for _, r in kept])
+    return [float(area[radius2 <= 1 / (alpha * alpha)].sum()) for alpha in alphas]
+
+
+def alpha_area(points: np.ndarray, alpha: float) -> float:
+    return alpha_areas(points, [alpha])[0]
 
 
 def prune_boxes(points_in: list[set[int]], coverage: list[float], lam: float = 1.0, a: float = 1.0, threshold: float = 0.0008, least: float = 0.5) -> list[int]:

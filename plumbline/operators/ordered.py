@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -95,3 +95,14 @@ def merge_near_angles(peaks: DataFrame, least: float = 25.0, keys: tuple[str, ..
     for c in on:
         condition = condition & c
     return peaks.join(other, condition, "left_anti")
+
+
+def every_nth(df: DataFrame, n: int, keys: tuple[str, ...], order: str = "id") -> DataFrame:
+    """The first, (n + 1)-th, ... row of each group."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumn("r__", F.row_number().over(w)).where(F.col("r__") % n == (1 if n > 1 else 0)).drop("r__")
+
+
+def side_of(key: Column, seed: int) -> Column:
+    """train for four fifths of the keys, test for the rest: the same keys at every run and partitioning."""
+    return F.when(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 4) < "cccc", "train").otherwise("test")

@@ -102,3 +102,11 @@ def hash_sample(df: DataFrame, keys: list[str], cap: int, by: tuple[str, ...] =
         return df.withColumn("h__", order).orderBy("h__", *keys).limit(cap).drop("h__")
     w = Window.partitionBy(*by).orderBy(order, *keys)
     return df.withColumn("h__", F.row_number().over(w)).where(F.col("h__") <= cap).drop("h__")
+
+
+def polygon_cells(polygons: DataFrame, ring: str, size_x: float, size_y: float) -> DataFrame:
+    """Each polygon once per grid cell whose center lies strictly inside; only cells within its bounds are made."""
+    ends = {v: (F.array_min(F.col(ring)[v]), F.array_max(F.col(ring)[v])) for v in "xy"}
+    out = polygons.withColumn("col", _covered(*ends["x"], size_x)).withColumn("row", _covered(*ends["y"], size_y))
+    out = out.withColumns({v: F.col(v).cast("int") for v in ("row", "col")})
+    return out.where(contains_strictly(F.col(ring), (F.col("col") + 0.5) * size_x, (F.col("row") + 0.5) * size_y))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import linear_index
 from plumbline.operators import kernels
+from plumbline.operators.graph import connected, cut
 
 
 def per_tile(cells: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], tile: int, halo: int = 0, shape: tuple[int, int] | None = None) -> DataFrame:
@@ -54,8 +55,8 @@ def filled(cells: DataFrame, tile: int) -> DataFrame:
 def components(cells: DataFrame, width: int, tile: int) -> DataFrame:
     """(row, col, component): 8-connected components over all tiles, named by their smallest row * width + col.
 
-    Tiles are labelled by themselves; only pairs of touching border cells make links between labels, and labels are
-    lowered along links, by joins, until none changes.
+    Tiles are labelled by themselves; only pairs of touching border cells make links between labels, whose components
+    are found by joins.
     """
     tagged = cells.select("row", "col").distinct().withColumn("tr", F.floor(F.col("row") / tile)).withColumn("tc", F.floor(F.col("col") / tile))
 
@@ -68,21 +69,14 @@ def components(cells: DataFrame, width: int, tile: int) -> DataFrame:
         low = pd.Series(lin).groupby(names).min()
         return pd.DataFrame({"row": r, "col": c, "local": low.loc[names].to_numpy()})
 
-    named = tagged.groupBy("tr", "tc").applyInPandas(run, "row int, col int, local long").persist()
+    named = cut(tagged.groupBy("tr", "tc").applyInPandas(run, "row int, col int, local long"))
     edge = lambda v: (F.col(v) % tile == 0) | (F.col(v) % tile == tile - 1)
     border = named.where(edge("row") | edge("col"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
     around = border.withColumn("s", F.explode(steps)).select((F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), F.col("local").alias("a"))
-    links = around.join(border, ["row", "col"]).where("a <> local").select("a", F.col("local").alias("b")).distinct().persist()
-    roots = links.select(F.col("a").alias("local"), F.col("a").alias("root")).distinct().persist()
-    while True:
-        low = links.join(roots.withColumnRenamed("local", "b"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        new = roots.join(low, roots["local"] == low["a"]).select("local", F.least("root", "low").alias("root")).persist()
-        changed = new.exceptAll(roots).count()
-        roots = new
-        if not changed:
-            break
-    return named.join(roots, "local", "left").select("row", "col", F.coalesce("root", "local").alias("component"))
+    links = around.join(border, ["row", "col"]).where("a <> local").select("a", F.col("local").alias("b"))
+    roots = connected(links).withColumnRenamed("vertex", "local")
+    return named.join(roots, "local", "left").select("row", "col", F.coalesce("component", "local").alias("component"))
 
 
 def hulls(points: DataFrame, key: str, factor: float = 1.1) -> DataFrame:
@@ -132,3 +126,115 @@ def oriented_lines(lines: DataFrame, key: str, pixel: float = 1.0, bandwidth: fl
 def seeded_cells(points: DataFrame, row: Column, col: Column, width: int) -> DataFrame:
     """Distinct (row, col, lin) of points."""
     return points.select(row.alias("row"), col.alias("col")).distinct().withColumn("lin", linear_index(F.col("row"), F.col("col"), width))
+
+
+def seams(cells: DataFrame, part_rows: int, part_cols: int, band: int = 32, radius: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Components of neighbouring parts that belong together: (a, b) pairs, and the (row, col, a) bridge cells.
+
+    Expects (row, col, component). At each border of two parts the cells within ``band`` of it are closed by a disk;
+    the components that one closed patch joins across the border are paired. Bridge cells are those that only the
+    closing fills, named by the smallest component of their seam's pairs.
+    """
+    size, both = {"row": part_rows, "col": part_cols}, []
+    for axis, cross in (("row", "col"), ("col", "row")):
+        n = size[axis]
+        at = F.floor((F.col(axis) + band) / n)
+        near = cells.where((F.pmod(F.col(axis) + band, F.lit(n)) < 2 * band) & (at > 0))
+        both.append(near.select(F.lit(axis).alias("axis"), at.cast("int").alias("border"), F.floor(F.col(cross) / size[cross]).cast("int").alias("lane"), "row", "col", F.col("component").cast("long").alias("component")))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        axis, border, lane = key[0], int(key[1]), int(key[2])
+        other = "col" if axis == "row" else "row"
+        d0, c0 = border * size[axis] - band, lane * size[other]
+        names, codes = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+        grid = np.zeros((size[other], 2 * band), np.int64)
+        grid[pdf[other].to_numpy() - c0, pdf[axis].to_numpy() - d0] = codes + 1
+        pairs, bridge = kernels.seam_pairs(grid[:, :band], grid[:, band:], radius)
+        out = [(int(names[i - 1]), int(names[j - 1]), None, None) for i, j in sorted(pairs)]
+        if out:
+            low = min(min(a, b) for a, b, _, _ in out)
+            for i, j in zip(*np.nonzero(bridge)):
+                d, c = int(j) + d0, int(i) + c0
+                out.append((low, None, d if axis == "row" else c, c if axis == "row" else d))
+        return pd.DataFrame(out, columns=["a", "b", "row", "col"]).astype({"a": "int64", "b": "Int64", "row": "Int32", "col": "Int32"})
+
+    found = cut(both[0].union(both[1]).groupBy("axis", "border", "lane").applyInPandas(run, "a long, b long, row int, col int"))
+    return found.where("b is not null").select("a", "b").where("a <> b").distinct(), found.where("b is null").select("row", "col", "a").distinct()
+
+
+def ground(cells: DataFrame, tile: int, shape: tuple[int, int], halo: int = 8, **knobs: float) -> DataFrame:
+    """(row, col, z): the cloth filter's ground surface, tile by tile with a halo that lets the cloth settle alike."""
+    return per_tile(cells, lambda g: kernels.ground_filter(g, **knobs), tile, halo, shape)
+
+
+def faces(lines: DataFrame, key: str) -> DataFrame:
+    """(key, face, ring): bounded faces between the lines (x1, y1, x2, y2) of each building, which are few."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rings = kernels.polygonize(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float))
+        rings = sorted(rings, key=lambda r: min(r))
+        return pd.DataFrame({key: pd.Series([pdf[key].iloc[0]] * len(rings), dtype=pdf[key].dtype), "face": np.arange(len(rings), dtype="int32"), "ring": [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]})
+
+    return lines.groupBy(key).applyInPandas(run, f"{key} {lines.schema[key].dataType.simpleString()}, face int, ring array<struct<x:double,y:double>>")
+
+
+def dissolved(boxes: DataFrame, key: str) -> DataFrame:
+    """(key, ring): outlines of the union of each group's rectangles, which share whole edges."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rings = kernels.dissolve([[(a, b), (c, b), (c, d), (a, d)] for a, b, c, d in pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False)])
+        return pd.DataFrame({key: pd.Series([pdf[key].iloc[0]] * len(rings), dtype=pdf[key].dtype), "ring": [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]})
+
+    return boxes.groupBy(key).applyInPandas(run, f"{key} {boxes.schema[key].dataType.simpleString()}, ring array<struct<x:double,y:double>>")
+
+
+#: Points that an alpha shape is made of at most; more are thinned to one per cell of a grid of that many cells.
+MOST_ALPHA = 2000
+
+
+def alpha_coverage(inside: DataFrame, key: str = "box", shares: tuple[float, ...] = (), penalty: float = 0.015) -> DataFrame:
+    """(key, n, coverage, alpha): area of the alpha shape of a box's points over the box's area.
+
+    Expects x, y and x0, y0, x1, y1. Alpha is 1 / (2 * median distance to the nearest neighbour); with ``shares`` every
+    quantile of those distances is tried and the largest area, less ``penalty`` for each step down the list, wins.
+    Points are first thinned to one per cell of MOST_ALPHA cells, so a group's batch is bounded.
+    """
+    side = int(MOST_ALPHA**0.5)
+    c = F.col
+    cell = [F.least(F.floor((c(v) - c(f"{v}0")) / (c(f"{v}1") - c(f"{v}0")) * side), F.lit(side - 1)).alias(f"c{v}") for v in "xy"]
+    thin = inside.select(key, "x", "y", "x0", "y0", "x1", "y1", *cell).groupBy(key, "cx", "cy").agg(F.count("*").alias("n"), F.min(F.struct("x", "y", "x0", "y0", "x1", "y1")).alias("p")).select(key, "n", "p.*")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = np.unique(pdf[["x", "y"]].to_numpy(float), axis=0)
+        box = float((pdf["x1"].iloc[0] - pdf["x0"].iloc[0]) * (pdf["y1"].iloc[0] - pdf["y0"].iloc[0]))
+        best, used = 0.0, 0.0
+        if len(p) > 2:
+            near = np.array([np.partition(((p - q) ** 2).sum(1), 1)[1] for q in p]) ** 0.5
+            alphas = [1 / (2 * max(float(np.quantile(near, share)), 1e-9)) for share in shares or (0.5,)]
+            tries = [(area * (1 - penalty * k), -k, area, alphas[k]) for k, area in enumerate(kernels.alpha_areas(p, alphas))]
+            _, _, area, used = max(tries)
+            best = area / box if box > 0 else 0.0
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [int(pdf["n"].sum())], "coverage": [best], "alpha": [used]})
+
+    return thin.groupBy(key).applyInPandas(run, f"{key} {inside.schema[key].dataType.simpleString()}, n long, coverage double, alpha double")
+
+
+def pruned(boxes: DataFrame, scene: str, threshold: float = 0.0008, least: float = 0.5) -> DataFrame:
+    """(scene, box): boxes left after greedy removal. Expects scene, box, n (its points) and coverage."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("box")
+        kept = kernels.prune_boxes([range(n) for n in pdf["n"]], pdf["coverage"].tolist(), threshold=threshold, least=least)
+        return pdf.iloc[kept][[scene, "box"]]
+
+    return boxes.groupBy(scene).applyInPandas(run, f"{scene} {boxes.schema[scene].dataType.simpleString()}, box {boxes.schema['box'].dataType.simpleString()}")
+
+
+def core(cells: DataFrame, radius: int, least: int, tile: int) -> DataFrame:
+    """(row, col) of occupied cells with at least ``least`` occupied ones, themselves included, within a disk."""
+
+    def kernel(grid: np.ndarray) -> np.ndarray:
+        mask = np.isfinite(grid)
+        return np.where(mask & (kernels.disk_count(mask, radius) >= least), 1.0, np.nan)
+
+    return per_tile(cells, kernel, tile, radius).select("row", "col")

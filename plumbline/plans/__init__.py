@@ -1 +1,6 @@
-"""Registered queries and composed pipelines."""
+"""Fixture views, and the registered queries with their SQL."""
+
+from plumbline.plans import scenes  # noqa: F401
+from plumbline.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -517,25 +517,12 @@ def l05_decode_lines(spark, d):
     return detect.decode_lines(heat, 0.1, 20.0, 50).select("img", r6("score"), "x1", "y1", "x2", "y2")
 
 
-_CROSS = f"{LINES_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY building ORDER BY line) AS k, y2 - y1 AS a, x1 - x2 AS b, (y2 - y1) * x1 + (x1 - x2) * y1 AS c FROM lines WHERE building < 20), t AS (SELECT * FROM l WHERE k <= 12), cross_ AS (SELECT p.building, p.line AS la, q.line AS lb, (q.b * p.c - p.b * q.c) / (p.a * q.b - q.a * p.b) AS x, (p.a * q.c - q.a * p.c) / (p.a * q.b - q.a * p.b) AS y FROM t p JOIN t q ON p.building = q.building AND p.line < q.line WHERE abs(p.a * q.b - q.a * p.b) > 1e-9)"
-
-
-def few_lines(spark, d):
-    return ordered.top_k(lines(spark, d).where("building < 20"), 12, [F.col("line")], ("building",))
-
-
-@query(f"WITH {_CROSS} SELECT building, la AS a, lb AS b, CAST(round(x * 100) AS BIGINT) AS x, CAST(round(y * 100) AS BIGINT) AS y FROM cross_ WHERE abs(x) < 1000 AND abs(y) < 1000")
+@query(f"WITH {LINES_SQL}, t AS (SELECT *, y2 - y1 AS a, x1 - x2 AS b, (y2 - y1) * x1 + (x1 - x2) * y1 AS c FROM lines), cross_ AS (SELECT p.building, p.line AS la, q.line AS lb, (q.b * p.c - p.b * q.c) / (p.a * q.b - q.a * p.b) AS x, (p.a * q.c - q.a * p.c) / (p.a * q.b - q.a * p.b) AS y FROM t p JOIN t q ON p.building = q.building AND p.line < q.line WHERE abs(p.a * q.b - q.a * p.b) > 1e-9) SELECT building, la AS a, lb AS b, CAST(round(x * 100) AS BIGINT) AS x, CAST(round(y * 100) AS BIGINT) AS y FROM cross_ WHERE abs(x) < 1000 AND abs(y) < 1000")
 def j16_intersections(spark, d):
-    out = detect.intersections(few_lines(spark, d), "building").where("abs(x) < 1000 and abs(y) < 1000")
+    out = detect.intersections(lines(spark, d), "building").where("abs(x) < 1000 and abs(y) < 1000")
     return out.select("building", "a", "b", F.round(F.col("x") * 100).cast("long").alias("x"), F.round(F.col("y") * 100).cast("long").alias("y"))
 
 
-@query(f"WITH {_CROSS}, k AS (SELECT building, la, lb FROM cross_ WHERE x BETWEEN 0 AND 720 AND y BETWEEN 0 AND 490), u AS (SELECT building, la AS a, lb AS b FROM k UNION ALL SELECT building, lb, la FROM k) SELECT p.building, p.a AS l0, p.b AS l1, q.b AS l2, r.b AS l3 FROM u p JOIN u q ON p.building = q.building AND p.b = q.a JOIN u r ON r.building = q.building AND q.b = r.a JOIN u s ON s.building = r.building AND r.b = s.a AND s.b = p.a WHERE p.a < p.b AND q.b > p.a AND q.b <> p.b AND r.b > p.b AND r.b <> q.b")
-def j17_squares(spark, d):
-    corners = detect.intersections(few_lines(spark, d), "building").where("x between 0 and 720 and y between 0 and 490")
-    return detect.squares(corners, "building")
-
-
 @query("WITH t AS (SELECT CASE WHEN page_id % 7 = 0 THEN 'tile_x_' || page_id ELSE 'tile_' || (page_id % 5) * 40 || '_' || (page_id % 3) * 40 || '.png' END AS name, CAST(page_id % 40 AS INT) AS r, CAST(page_id * 7 % 40 AS INT) AS c, page_id * 13 % 256 AS v FROM pages) SELECT DISTINCT CAST(regexp_extract(name, '^tile_(\\d+)_(\\d+)', 2) AS INT) + r AS row, CAST(regexp_extract(name, '^tile_(\\d+)_(\\d+)', 1) AS INT) + c AS col FROM t WHERE v > 127 AND name NOT LIKE 'tile_x%' AND CAST(regexp_extract(name, '^tile_(\\d+)_(\\d+)', 2) AS INT) + r < 110 AND CAST(regexp_extract(name, '^tile_(\\d+)_(\\d+)', 1) AS INT) + c < 180")
 def s12_mosaic(spark, d):
     i = F.col("page_id")

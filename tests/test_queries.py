@@ -3,11 +3,14 @@
 import duckdb
 import pytest
 
-from plumbline.plans.queries import QUERIES, SQL
+from plumbline.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: The smallest raster is three cells wide, and no seam of its parts has a gap; tests/test_scenes.py plants one.
+MAY_BE_EMPTY = {"j12_seams", "m08_bridges"}
+
 
 @pytest.fixture(scope="module")
 def db():
@@ -26,7 +29,7 @@ def plain(columns, rows):
 def test_query_equals_sql(spark, db, name):
     got = QUERIES[name](spark, SF)
     if name not in SQL:
-        assert got.count() > 0
+        assert got.count() > 0 or name in MAY_BE_EMPTY
         return
     want = db.execute(SQL[name])
     columns = [c[0] for c in want.description]
