@@ -16,10 +16,18 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("double").alias("x"), hours.alias("y"), F.col("value").alias("z"), F.col("event_type").alias("cls"))
 
 
+def last(spark: SparkSession, sf_dir: str) -> tuple[float, float]:
+    """The largest x and y of the points; -1 without any."""
+    r = points(spark, sf_dir).agg(F.max("x"), F.max("y")).first()
+    return tuple(-1.0 if v is None else float(v) for v in r)
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 5 x 5 grid of rectangles that share edges: box, x0, y0, x1, y1."""
-    k = F.col("n_nationkey")
-    out = table(spark, sf_dir, "nation").select(k.alias("box"), (F.floor(k / 5) * 30.0).alias("x0"), ((k % 5) * 144.0).alias("y0"))
+    """Rectangles that share edges: box, x0, y0, x1, y1. Blocks of 5 x 5 stand side by side until they hold all points."""
+    k, i = F.col("n_nationkey"), F.col("block__")
+    across, up = (max(1, int(v // side) + 1) for v, side in zip(last(spark, sf_dir), (150, 720), strict=True))
+    blocks = table(spark, sf_dir, "nation").withColumn("block__", F.explode(F.sequence(F.lit(0), F.lit(across * up - 1))))
+    out = blocks.select((k + 25 * i).cast("int").alias("box"), (F.floor(k / 5) * 30.0 + i % across * 150).alias("x0"), ((k % 5) * 144.0 + F.floor(i / across) * 720).alias("y0"))
     return out.select("box", "x0", "y0", (F.col("x0") + 30).alias("x1"), (F.col("y0") + 144).alias("y1"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import rings, scalar
 from plumbline.operators import cells, detect, ordered, solids, spatial, tiles
-from plumbline.plans.fixtures import BOXES_SQL, DETECTIONS_SQL, LINES_SQL, POINTS_SQL, boxes, detections, lines, points, table
+from plumbline.plans.fixtures import BOXES_SQL, DETECTIONS_SQL, LINES_SQL, POINTS_SQL, boxes, detections, last, lines, points, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,6 +47,12 @@ def pixel():
     return F.floor(F.col("y") / 24).cast("int"), F.floor(F.col("x") / 5).cast("int")
 
 
+def extent(spark, d) -> tuple[int, int]:
+    """Rows and columns of the raster that holds the whole table; it has 30 x 30 cells at least. Both count from 0."""
+    x, y = last(spark, d)
+    return max(30, int(y // 24) + 1), max(30, int(x // 5) + 1)
+
+
 # --- cells and rasters ------------------------------------------------------------------------------------------------
 
 
@@ -110,7 +116,8 @@ def a22_downsample(spark, d):
 @query(f"WITH {POINTS_SQL}, c AS (SELECT DISTINCT {_GRID} FROM points WHERE cls = 'error') SELECT round(count(*) / 900.0, 6) AS valid_ratio, count(DISTINCT row) AS n_rows, count(DISTINCT col) AS n_cols FROM c")
 def a21_valid_ratio(spark, d):
     c = cells.rasterize(points(spark, d).where("cls = 'error'"), *pixel(), "max")
-    return c.agg(F.round(F.count("*") / 900.0, 6).alias("valid_ratio"), F.count_distinct("row").alias("n_rows"), F.count_distinct("col").alias("n_cols"))
+    rows, cols = extent(spark, d)
+    return c.agg(F.round(F.count("*") / float(rows * cols), 6).alias("valid_ratio"), F.count_distinct("row").alias("n_rows"), F.count_distinct("col").alias("n_cols"))
 
 
 @query(f"WITH {POINTS_SQL}, c AS (SELECT DISTINCT {_GRID} FROM points WHERE cls = 'error' AND z > 300) SELECT DISTINCT CAST(row + i AS INT) AS row, CAST(col + j AS INT) AS col FROM c, range(-3, 4) a(i), range(-3, 4) b(j) WHERE abs(i) + abs(j) <= 3")
@@ -120,14 +127,14 @@ def m05_dilate(spark, d):
 
 @query(f"WITH {POINTS_SQL}, o AS (SELECT i, j FROM range(-1, 2) a(i), range(-1, 2) b(j) WHERE i * i + j * j <= 1), c AS (SELECT DISTINCT {_GRID} FROM points WHERE cls = 'error'), g AS (SELECT DISTINCT row + i AS row, col + j AS col FROM c, o WHERE row + i BETWEEN 0 AND 29 AND col + j BETWEEN 0 AND 29) SELECT CAST(g.row - i AS INT) AS row, CAST(g.col - j AS INT) AS col FROM g, o GROUP BY 1, 2 HAVING count(*) = 5")
 def m03_closing(spark, d):
-    return cells.closing(cells.rasterize(points(spark, d).where("cls = 'error'"), *pixel(), "max"), 1, shape=(30, 30))
+    return cells.closing(cells.rasterize(points(spark, d).where("cls = 'error'"), *pixel(), "max"), 1, shape=extent(spark, d))
 
 
 @query(f"WITH {POINTS_SQL} SELECT part, count(*) AS n, round(min(z), 6) AS zmin, round(max(z), 6) AS zmax FROM (SELECT *, CAST(3 * floor(y / 240) + floor(x / 50) + 1 AS INT) AS part FROM points WHERE x >= 0 AND x < 150 AND y >= 0 AND y < 720) GROUP BY part")
 def m01_tile_cut(spark, d):
-    p = points(spark, d).where("x >= 0 and x < 150 and y >= 0 and y < 720")
-    part = (3 * F.floor(F.col("y") / 240) + F.floor(F.col("x") / 50) + 1).cast("int").alias("part")
-    return p.groupBy(part).agg(F.count("*").alias("n"), F.round(F.min("z"), 6).alias("zmin"), F.round(F.max("z"), 6).alias("zmax"))
+    across = -(-extent(spark, d)[1] // 10)
+    part = (across * F.floor(F.col("y") / 240) + F.floor(F.col("x") / 50) + 1).cast("int").alias("part")
+    return points(spark, d).where("x >= 0 and y >= 0").groupBy(part).agg(F.count("*").alias("n"), F.round(F.min("z"), 6).alias("zmin"), F.round(F.max("z"), 6).alias("zmax"))
 
 
 @query("SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(least(512, 1700 - x) AS INT) AS w, CAST(least(512, 1300 - y) AS INT) AS h, 'tile_' || x || '_' || y || '.png' AS name FROM range(0, 1700, 512) a(x), range(0, 1300, 512) b(y)")
@@ -144,15 +151,17 @@ _PIX = "CAST(floor(y / 24) AS BIGINT) * 30 + CAST(floor(x / 5) AS BIGINT)"
 
 @query(f"WITH {POINTS_SQL}, b AS (SELECT DISTINCT {_PIX} AS lin FROM points WHERE cls = 'purchase') SELECT id, round(x, 6) AS x, round(y, 6) AS y, z FROM points WHERE cls <> 'purchase' AND {_PIX} IN (SELECT lin FROM b)")
 def j04_semi_pixels(spark, d):
-    p = points(spark, d).withColumn("lin", scalar.linear_index(*pixel(), 30))
-    return p.where("cls <> 'purchase'").join(p.where("cls = 'purchase'").select("lin").distinct(), "lin", "left_semi").select("id", r6("x"), r6("y"), "z")
+    row, col = pixel()
+    p = points(spark, d).withColumn("row", row).withColumn("col", col)
+    return p.where("cls <> 'purchase'").join(p.where("cls = 'purchase'").select("row", "col").distinct(), ["row", "col"], "left_semi").select("id", r6("x"), r6("y"), "z")
 
 
 @query(f"WITH {POINTS_SQL}, c AS (SELECT DISTINCT cls AS cluster, {_PIX} AS lin FROM points WHERE z > 250) SELECT cluster, count(*) AS n, round(min(z), 6) AS zmin, round(sum(z), 4) AS zsum FROM c JOIN (SELECT *, {_PIX} AS lin FROM points) p USING (lin) GROUP BY cluster")
 def j05_points_per_cluster(spark, d):
-    p = points(spark, d).withColumn("lin", scalar.linear_index(*pixel(), 30))
-    c = p.where("z > 250").select(F.col("cls").alias("cluster"), "lin").dropDuplicates()
-    return c.join(p.select("lin", "z"), "lin").groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.min("z"), 6).alias("zmin"), F.round(F.sum("z"), 4).alias("zsum"))
+    row, col = pixel()
+    p = points(spark, d).withColumn("row", row).withColumn("col", col)
+    c = p.where("z > 250").select(F.col("cls").alias("cluster"), "row", "col").dropDuplicates()
+    return c.join(p.select("row", "col", "z"), ["row", "col"]).groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.min("z"), 6).alias("zmin"), F.round(F.sum("z"), 4).alias("zsum"))
 
 
 @query(f"WITH {POINTS_SQL}, {BOXES_SQL} SELECT box, count(*) AS n, round(avg(z), 6) AS zmean FROM points JOIN boxes ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY box")
@@ -482,13 +491,13 @@ def a03_bulk_cells(spark, d):
 
 @query(f"WITH RECURSIVE {POINTS_SQL}, c AS (SELECT DISTINCT CAST(floor(y / 24) AS INT) AS row, CAST(floor(x / 5) AS INT) AS col FROM points WHERE cls = 'error' AND z > 200), r AS (SELECT row, col, row * 30 + col AS root FROM c UNION SELECT n.row, n.col, r.root FROM r JOIN c n ON abs(n.row - r.row) <= 1 AND abs(n.col - r.col) <= 1) SELECT row, col, CAST(min(root) AS BIGINT) AS component FROM r GROUP BY row, col")
 def m06_components(spark, d):
-    return tiles.components(cells.rasterize(points(spark, d).where("cls = 'error' and z > 200"), *pixel(), "max"), 30, 8)
+    return tiles.components(cells.rasterize(points(spark, d).where("cls = 'error' and z > 200"), *pixel(), "max"), extent(spark, d)[1], 8)
 
 
 @query(f"WITH {POINTS_SQL}, o AS (SELECT i, j FROM range(-3, 4) a(i), range(-3, 4) b(j) WHERE i * i + j * j <= 9), c AS (SELECT DISTINCT {_GRID} FROM points WHERE cls = 'error' AND z > 200), g AS (SELECT DISTINCT row + i AS row, col + j AS col FROM c, o) SELECT * FROM (SELECT CAST(g.row - i AS INT) AS row, CAST(g.col - j AS INT) AS col FROM g, o GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM o)) WHERE row BETWEEN 0 AND 29 AND col BETWEEN 0 AND 29")
 def m03_closing_tiles(spark, d):
     c = cells.rasterize(points(spark, d).where("cls = 'error' and z > 200"), *pixel(), "max")
-    return tiles.closed(c, 3, 8, (30, 30))
+    return tiles.closed(c, 3, 8, extent(spark, d))
 
 
 @query()
@@ -534,7 +543,9 @@ def s12_mosaic(spark, d):
 @query(f"WITH {POINTS_SQL}, c AS (SELECT {_GRID}, max(z) AS z FROM points WHERE cls = 'error' GROUP BY 1, 2) SELECT CAST(a.i AS INT) AS row, CAST(b.j AS INT) AS col, z FROM range(0, 45) a(i), range(0, 20) b(j), c WHERE c.row = floor((a.i + 0.5) / 1.5) AND c.col = floor((b.j + 0.5) * 1.5)")
 def m11_reproject(spark, d):
     c = cells.rasterize(points(spark, d).where("cls = 'error'"), *pixel(), "max")
-    return detect.resample(c, F.sequence(F.lit(0), F.lit(44)), F.sequence(F.lit(0), F.lit(19)), 30, 30, 1 / 1.5, 1.5)
+    rows, cols = extent(spark, d)
+    upto = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    return detect.resample(c, upto(-(-rows * 3 // 2)), upto(-(-cols * 2 // 3)), rows, cols, 1 / 1.5, 1.5)
 
 
 @query(f"WITH {POINTS_SQL}, {BOXES_SQL} SELECT box, count(*) AS n, round(avg(CASE WHEN least(x - x0, x1 - x, y - y0, y1 - y) <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS edge, round(1.0 / (count(*) + 1), 9) AS complexity FROM points JOIN boxes ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY box")

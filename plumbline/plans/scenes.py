@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import rings, scalar
 from plumbline.operators import cells, detect, graph, ordered, spatial, tiles
 from plumbline.plans.fixtures import BOXES_SQL, DETECTIONS_SQL, LINES_SQL, POINTS_SQL, boxes, detections, lines, points, table
-from plumbline.plans.queries import _GRID, ground, pixel, query, r6, upper
+from plumbline.plans.queries import _GRID, extent, ground, pixel, query, r6, upper
 from plumbline.sources import files
 
 c = F.col
@@ -137,7 +137,7 @@ def p31_losses(spark, d):
 @query(f"WITH {POINTS_SQL}, s AS (SELECT {_GRID}, avg(z) AS z FROM points GROUP BY 1, 2) SELECT row, 29 - col AS flipped, round(z / 255, 6) AS unit, round(z / 127.5 - 1, 6) AS centered FROM s")
 def p30_flip_normalize(spark, d):
     g = cells.rasterize(points(spark, d), *pixel(), "mean")
-    return g.select("row", (29 - c("col")).alias("flipped"), F.round(c("z") / 255, 6).alias("unit"), F.round(c("z") / 127.5 - 1, 6).alias("centered"))
+    return g.select("row", (extent(spark, d)[1] - 1 - c("col")).alias("flipped"), F.round(c("z") / 255, 6).alias("unit"), F.round(c("z") / 127.5 - 1, 6).alias("centered"))
 
 
 # --- predicates and cells ---------------------------------------------------------------------------------------------
@@ -169,7 +169,7 @@ _PARTS = f"{POINTS_SQL}, cell AS (SELECT {_GRID}, max(z) AS z FROM points WHERE
 
 def _parts(spark, d) -> tuple[DataFrame, DataFrame]:
     cell = cells.rasterize(points(spark, d).where("cls = 'error' and z > 100"), *pixel(), "max")
-    return cell, tiles.components(cell, 5000, 16)
+    return cell, tiles.components(cell, max(5000, extent(spark, d)[1]), 16)
 
 
 @query(f"WITH RECURSIVE {_PARTS} SELECT component, count(*) AS area, round(avg(row), 6) AS row_mid, round(avg(col), 6) AS col_mid, min(row) AS row0, min(col) AS col0, max(row) AS row1, max(col) AS col1 FROM comp GROUP BY 1 HAVING count(*) >= 2")
