@@ -18,24 +18,10 @@ from pyspark.sql import types as T
 
 from plumbline.llm.bytewords import combine, words
 from plumbline.llm.common import chunks
+from plumbline.llm.license_templates import TEMPLATES
 
 # The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: (label, markup). Every template begins with two mandatory words, by which its places are found.
-TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "spdx license identifier apache 2 0"),
-    ("mit", "under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("mit", "spdx license identifier mit"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-4.0", "licensed under [[a]] [[creative commons]] [[attribution]] cc by 4 0"),
-    ("cc-by-nc-4.0", "licensed under [[a]] [[creative commons]] [[attribution noncommercial]] cc by nc 4 0"),
-    ("cc-by-sa-4.0", "licensed under [[a]] [[creative commons]] [[attribution sharealike]] cc by sa 4 0"),
-    ("gpl-2.0", "under the terms of the gnu general public license [[as published by the free software foundation]] [[either]] version 2"),
-    ("gpl-3.0", "under the terms of the gnu general public license [[as published by the free software foundation]] [[either]] version 3"),
-    ("copyright", "copyright c {{year:2}} [[by]] {{holder:6}} all rights reserved"),
-)
 
 
 class Automaton:
