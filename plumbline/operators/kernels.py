@@ -103,6 +103,31 @@ def fill_nearest(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearest_in_row(cols: np.ndarray, width: int) -> np.ndarray:
+    """For each of ``width`` columns the place in ``cols`` (ascending) of the nearest one; of two the left one."""
+    at = np.arange(width)
+    right = np.searchsorted(cols, at)
+    left = np.maximum(right - 1, 0)
+    right = np.minimum(right, len(cols) - 1)
+    return np.where(np.abs(at - cols[left]) <= np.abs(cols[right] - at), left, right)
+
+
+def nearest_over_rows(d2: np.ndarray) -> np.ndarray:
+    """For each row of a column the row r that makes (distance to r)^2 + d2[r] smallest; of several the first.
+
+    Steps away from every row at once, until no farther row can be nearer; infinite d2 stand for rows without a cell.
+    """
+    n = len(d2)
+    best, took, k = d2.astype(float), np.arange(n), 1
+    while k < n and k * k <= best.max():
+        for to, of in ((slice(k, n), slice(0, n - k)), (slice(0, n - k), slice(k, n))):
+            cost, row = d2[of] + k * k, np.arange(n)[of]
+            nearer = (cost < best[to]) | ((cost == best[to]) & (row < took[to]))
+            best[to], took[to] = np.where(nearer, cost, best[to]), np.where(nearer, row, took[to])
+        k += 1
+    return took
+
+
 def seam_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[set[tuple[int, int]], np.ndarray]:
     """Component ids of two bands side by side that one closed patch joins, and the patch cells that bridge them."""
     band = np.concatenate([left, right], axis=1)
@@ -349,14 +374,15 @@ def prune_boxes(points_in: list[set[int]], coverage: list[float], lam: float = 1
     return [k for k in kept if coverage[k] >= least]
 
 
-def ground_filter(heights: np.ndarray, resolution: float = 1.5, rigidness: int = 3, rounds: int = 500, step: float = 0.65) -> np.ndarray:
+def ground_filter(heights: np.ndarray, resolution: float = 1.5, rigidness: int = 3, rounds: int = 500, step: float = 0.65, top: float | None = None, settled: float = 0.005) -> np.ndarray:
     """A cloth dropped on the inverted heights of a grid (Zhang et al., 2016); the surface it comes to rest on.
 
-    An approximation on a regular grid: every round the cloth falls, then neighbours pull each other together.
+    An approximation on a regular grid: every round the cloth falls, then neighbours pull each other together. It falls
+    from above ``top``, the greatest inverted height (of the grid, if not given), until no cell moves by ``settled``.
     """
-    top = -fill_nearest(heights)
-    cloth = np.full(top.shape, np.nanmax(top) + 10.0)
-    fixed, fall = np.zeros(top.shape, bool), 0.2 * step * step
+    floor = -fill_nearest(heights)
+    cloth = np.full(floor.shape, (np.nanmax(floor) if top is None else top) + 10.0)
+    fixed, fall = np.zeros(floor.shape, bool), 0.2 * step * step
     before = cloth + fall
     for _ in range(rounds):
         moved = np.where(fixed, cloth, cloth + (cloth - before) * 0.99 - fall)
@@ -365,9 +391,9 @@ def ground_filter(heights: np.ndarray, resolution: float = 1.5, rigidness: int =
             wide = np.pad(moved, 1, mode="edge")
             mean = (wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:]) / 4
             moved = np.where(fixed, moved, moved + 0.5 * (mean - moved))
-        hit = moved <= top
-        cloth = np.where(hit, top, moved)
+        hit = moved <= floor
+        cloth = np.where(hit, floor, moved)
         fixed |= hit
-        if np.abs(cloth - before).max(initial=0) < 0.005:
+        if np.abs(cloth - before).max(initial=0) <= settled:
             break
     return -cloth

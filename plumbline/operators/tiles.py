@@ -47,9 +47,29 @@ def closed(cells: DataFrame, radius: int, tile: int, shape: tuple[int, int] | No
     return spread.select("row", "col")
 
 
-def filled(cells: DataFrame, tile: int) -> DataFrame:
-    """Nearest-valid fill inside each tile that has a valid cell."""
-    return per_tile(cells, kernels.fill_nearest, tile)
+def filled(cells: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """(row, col, z): all cells of a raster of ``shape``, those without a value with that of the nearest valid cell.
+
+    Exact for the whole raster (Euclidean): the nearest cell in each row, then over the rows of each column. A batch is
+    one row or one column. No valid cell, no rows.
+    """
+    height, width = shape
+    valid = cells.select("row", "col", F.col("z").cast("double").alias("z")).where("z is not null and not isnan(z) and abs(z) < double('inf')")
+    valid = valid.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
+
+    def across(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("col")
+        cols, z = pdf["col"].to_numpy(np.int64), pdf["z"].to_numpy()
+        near = kernels.nearest_in_row(cols, width)
+        return pd.DataFrame({"row": np.int32(key[0]), "col": np.arange(width, dtype="int32"), "away": np.abs(cols[near] - np.arange(width)), "z": z[near]})
+
+    def down(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        d2, z, rows = np.full(height, np.inf), np.full(height, np.nan), pdf["row"].to_numpy()
+        d2[rows], z[rows] = pdf["away"].to_numpy(float) ** 2, pdf["z"].to_numpy()
+        return pd.DataFrame({"row": np.arange(height, dtype="int32"), "col": np.int32(key[0]), "z": z[kernels.nearest_over_rows(d2)]})
+
+    rows = valid.groupBy("row").applyInPandas(across, "row int, col int, away long, z double")
+    return rows.groupBy("col").applyInPandas(down, "row int, col int, z double")
 
 
 def components(cells: DataFrame, width: int, tile: int) -> DataFrame:
@@ -162,9 +182,22 @@ def seams(cells: DataFrame, part_rows: int, part_cols: int, band: int = 32, radi
     return found.where("b is not null").select("a", "b").where("a <> b").distinct(), found.where("b is null").select("row", "col", "a").distinct()
 
 
-def ground(cells: DataFrame, tile: int, shape: tuple[int, int], halo: int = 8, **knobs: float) -> DataFrame:
-    """(row, col, z): the cloth filter's ground surface, tile by tile with a halo that lets the cloth settle alike."""
-    return per_tile(cells, lambda g: kernels.ground_filter(g, **knobs), tile, halo, shape)
+def ground(cells: DataFrame, tile: int, shape: tuple[int, int], rounds: int = 500, rigidness: int = 3, **knobs: float) -> DataFrame:
+    """(row, col, z): the cloth filter's ground surface on a raster of ``shape``, the same however the tiles are cut.
+
+    Gaps are filled before over the whole raster; the halo is as wide as a pull gets in all rounds, the cloth starts at
+    one height everywhere and no tile stops before it lies still.
+    """
+    whole = cut(filled(cells, shape))
+    low = whole.agg(F.min("z")).first()[0]
+
+    def kernel(grid: np.ndarray) -> np.ndarray:
+        i, j = np.nonzero(np.isfinite(grid))
+        part = slice(i.min(), i.max() + 1), slice(j.min(), j.max() + 1)
+        grid[part] = kernels.ground_filter(grid[part], rigidness=rigidness, rounds=rounds, top=-low, settled=0.0, **knobs)
+        return grid
+
+    return per_tile(whole, kernel, tile, rounds * rigidness, shape)
 
 
 def faces(lines: DataFrame, key: str) -> DataFrame:

@@ -502,7 +502,7 @@ def m03_closing_tiles(spark, d):
 
 @query()
 def m10_fill_nearest(spark, d):
-    return tiles.filled(cells.rasterize(ground(spark, d).where("z > 150"), *pixel(), "min"), 30)
+    return tiles.filled(cells.rasterize(ground(spark, d).where("z > 150"), *pixel(), "min"), extent(spark, d))
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import rings, scalar
 from plumbline.operators import cells, detect, graph, ordered, spatial, tiles
-from plumbline.plans.fixtures import BOXES_SQL, DETECTIONS_SQL, LINES_SQL, POINTS_SQL, boxes, detections, lines, points, table
+from plumbline.plans.fixtures import BOXES_SQL, DETECTIONS_SQL, LINES_SQL, POINTS_SQL, boxes, detections, last, lines, points, table
 from plumbline.plans.queries import _GRID, extent, ground, pixel, query, r6, upper
 from plumbline.sources import files
 
@@ -270,7 +270,8 @@ def m08_bridges(spark, d):
 @query()
 def m02_ground(spark, d):
     g = cells.rasterize(points(spark, d), *pixel(), "min")
-    return tiles.ground(g, 32, (30, 100_000), rounds=200).select("row", "col", r4(c("z"), "z"))
+    x, y = last(spark, d)
+    return tiles.ground(g, 512, (int(y // 24) + 1, int(x // 5) + 1)).select("row", "col", r4(c("z"), "z"))
 
 
 @query(f"WITH {BOXES_SQL} SELECT CAST(box // 5 AS BIGINT) AS building, count(*) AS faces, sum((x1 - x0) * (y1 - y0)) AS area FROM boxes GROUP BY 1")
