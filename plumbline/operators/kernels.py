@@ -129,15 +129,21 @@ def nearest_over_rows(d2: np.ndarray) -> np.ndarray:
 
 
 def seam_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[set[tuple[int, int]], np.ndarray]:
-    """Component ids of two bands side by side that one closed patch joins, and the patch cells that bridge them."""
+    """Component ids of two bands side by side that one closed patch joins, and the cells that bridge them.
+
+    A bridge cell is one that only the closing fills, in a patch that joins components of both bands; it holds the
+    smallest of them, all other cells 0.
+    """
     band = np.concatenate([left, right], axis=1)
     patch = close(band > 0, radius)
-    names, pairs = label(patch), set()
+    names, pairs, bridge = label(patch), set(), np.zeros(band.shape, np.int64)
     for k in range(1, int(names.max()) + 1):
         here = names == k
         a, b = (set(np.unique(x[y]).tolist()) - {0} for x, y in ((left, here[:, : left.shape[1]]), (right, here[:, left.shape[1] :])))
         pairs |= {(i, j) for i in a for j in b}
-    return pairs, patch & (band == 0)
+        if a and b:
+            bridge[here & (band == 0)] = min(a | b)
+    return pairs, bridge
 
 
 class Unions:

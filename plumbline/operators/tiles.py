@@ -153,7 +153,7 @@ def seams(cells: DataFrame, part_rows: int, part_cols: int, band: int = 32, radi
 
     Expects (row, col, component). At each border of two parts the cells within ``band`` of it are closed by a disk;
     the components that one closed patch joins across the border are paired. Bridge cells are those that only the
-    closing fills, named by the smallest component of their seam's pairs.
+    closing fills, in a patch that joins components, named by the smallest of these; other patches have none.
     """
     size, both = {"row": part_rows, "col": part_cols}, []
     for axis, cross in (("row", "col"), ("col", "row")):
@@ -171,17 +171,25 @@ def seams(cells: DataFrame, part_rows: int, part_cols: int, band: int = 32, radi
         grid[pdf[other].to_numpy() - c0, pdf[axis].to_numpy() - d0] = codes + 1
         pairs, bridge = kernels.seam_pairs(grid[:, :band], grid[:, band:], radius)
         out = [(int(names[i - 1]), int(names[j - 1]), None, None) for i, j in sorted(pairs)]
-        if out:
-            low = min(min(a, b) for a, b, _, _ in out)
-            for i, j in zip(*np.nonzero(bridge)):
-                d, c = int(j) + d0, int(i) + c0
-                out.append((low, None, d if axis == "row" else c, c if axis == "row" else d))
+        for i, j in zip(*np.nonzero(bridge)):
+            d, c = int(j) + d0, int(i) + c0
+            out.append((int(names[bridge[i, j] - 1]), None, d if axis == "row" else c, c if axis == "row" else d))
         return pd.DataFrame(out, columns=["a", "b", "row", "col"]).astype({"a": "int64", "b": "Int64", "row": "Int32", "col": "Int32"})
 
     found = cut(both[0].union(both[1]).groupBy("axis", "border", "lane").applyInPandas(run, "a long, b long, row int, col int"))
     return found.where("b is not null").select("a", "b").where("a <> b").distinct(), found.where("b is null").select("row", "col", "a").distinct()
 
 
+def seam_clusters(cells: DataFrame, pairs: DataFrame, bridge: DataFrame) -> DataFrame:
+    """(row, col, cluster): the cells (row, col, component) and bridge cells of all components that seams join.
+
+    A cluster is named by its smallest component. Components without a pair are clusters by themselves.
+    """
+    roots = connected(pairs).select(F.col("vertex").alias("component"), F.col("component").alias("root"))
+    both = cells.select("row", "col", F.col("component").cast("long").alias("component")).union(bridge.select("row", "col", F.col("a").alias("component")))
+    return both.join(roots, "component", "left").select("row", "col", F.coalesce("root", "component").alias("cluster")).distinct()
+
+
 def ground(cells: DataFrame, tile: int, shape: tuple[int, int], rounds: int = 500, rigidness: int = 3, **knobs: float) -> DataFrame:
     """(row, col, z): the cloth filter's ground surface on a raster of ``shape``, the same however the tiles are cut.
 

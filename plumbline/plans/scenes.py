@@ -267,6 +267,13 @@ def m08_bridges(spark, d):
     return tiles.seams(_parts(spark, d)[1], 10, 10, 4, 2)[1]
 
 
+@query()
+def m09_clusters(spark, d):
+    """Components joined over the seams, with their bridge cells."""
+    named = graph.cut(_parts(spark, d)[1])
+    return tiles.seam_clusters(named, *tiles.seams(named, 10, 10, 4, 2))
+
+
 @query()
 def m02_ground(spark, d):
     g = cells.rasterize(points(spark, d), *pixel(), "min")
