@@ -361,6 +361,41 @@ def alpha_areas(points: np.ndarray, alphas: list[float]) -> list[float]:
     return [float(area[radius2 <= 1 / (alpha * alpha)].sum()) for alpha in alphas]
 
 
+def alpha_polygons(points: np.ndarray, alphas: list[float]) -> list[list[float]]:
+    """For each alpha, the areas of the alpha shape's polygons: triangles that share an edge are of one polygon."""
+    points, out = np.unique(points, axis=0), []
+    kept = [(tuple(t), circle[2]) for t in delaunay(points) if (circle := _circle(points, tuple(t)))]
+    size = [abs(float(np.linalg.det(points[[b, c]] - points[a]))) / 2 for (a, b, c), _ in kept]
+    for alpha in alphas:
+        here, edge, sets = [k for k, (_, r2) in enumerate(kept) if r2 <= 1 / (alpha * alpha)], {}, Unions()
+        for k in here:
+            a, b, c = sorted(kept[k][0])
+            for side in ((a, b), (b, c), (a, c)):
+                sets.join(k, edge.setdefault(side, k))
+        areas: dict[int, float] = {}
+        for k in here:
+            areas[sets.find(k)] = areas.get(sets.find(k), 0.0) + size[k]
+        out.append([x for x in areas.values() if x > 0])
+    return out
+
+
+def buffered_in_box(ring: np.ndarray, by: float, box: tuple[float, float, float, float]) -> float:
+    """Area inside x0, y0, x1, y1 of a convex ring (one and two points too) widened by ``by``; arcs of 64 chords a turn."""
+    turn = np.arange(64) * (np.pi / 32)
+    around = np.stack([np.cos(turn), np.sin(turn)], axis=1) * by
+    shape = [tuple(p) for p in convex_hull((np.asarray(ring, float)[:, None, :] + around[None]).reshape(-1, 2))]
+    for axis, at, sign in ((0, box[0], 1), (1, box[1], 1), (0, box[2], -1), (1, box[3], -1)):
+        cut = []
+        for p, q in zip(shape, shape[1:] + shape[:1]):
+            u, v = sign * (p[axis] - at), sign * (q[axis] - at)
+            if u >= 0:
+                cut.append(p)
+            if (u < 0) != (v < 0):
+                cut.append(tuple(a + (b - a) * u / (u - v) for a, b in zip(p, q)))
+        shape = cut
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(shape, shape[1:] + shape[:1]))) / 2
+
+
 def alpha_area(points: np.ndarray, alpha: float) -> float:
     return alpha_areas(points, [alpha])[0]
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import linear_index
-from plumbline.operators import kernels
+from plumbline.operators import kernels, spatial
 from plumbline.operators.graph import connected, cut
 
 
@@ -229,35 +229,54 @@ def dissolved(boxes: DataFrame, key: str) -> DataFrame:
     return boxes.groupBy(key).applyInPandas(run, f"{key} {boxes.schema[key].dataType.simpleString()}, ring array<struct<x:double,y:double>>")
 
 
-#: Points that an alpha shape is made of at most; more are thinned to one per cell of a grid of that many cells.
+#: Points that an alpha shape is made of at most; more are thinned to one per cell of a grid of at most that many cells.
 MOST_ALPHA = 2000
 
 
-def alpha_coverage(inside: DataFrame, key: str = "box", shares: tuple[float, ...] = (), penalty: float = 0.015) -> DataFrame:
+def alpha_coverage(inside: DataFrame, key: str = "box", shares: tuple[float, ...] = (), penalty: float = 0.015, largest: float = 0.05, radius: float = 2.0) -> DataFrame:
     """(key, n, coverage, alpha): area of the alpha shape of a box's points over the box's area.
 
-    Expects x, y and x0, y0, x1, y1. Alpha is 1 / (2 * median distance to the nearest neighbour); with ``shares`` every
-    quantile of those distances is tried and the largest area, less ``penalty`` for each step down the list, wins.
-    Points are first thinned to one per cell of MOST_ALPHA cells, so a group's batch is bounded.
+    Expects x, y and x0, y0, x1, y1; n counts all points, the shape is made of the distinct ones. Alpha is
+    1 / (2 * median distance to the nearest other point of the box); where the shape has less than 5 % of the box, the
+    hull widened by at least 0.75 stands for it as far as it is in the box. With ``shares`` every quantile of those
+    distances is tried: an area loses the share ``penalty`` for each further polygon and gains the share ``largest`` of
+    its largest one, and the best wins; without any area the hull stands for it, with alpha 0.
+
+    Distances are found on all points (``radius`` is where their search begins). Only boxes of more than MOST_ALPHA points
+    are thinned, to one per cell, so a group's batch is bounded.
     """
-    side = int(MOST_ALPHA**0.5)
-    c = F.col
+    side, c = int(MOST_ALPHA**0.5), F.col
+    box = ("x0", "y0", "x1", "y1")
+    alike = cut(inside.groupBy(key, "x", "y").agg(F.count("*").alias("n"), *[F.first(v).alias(v) for v in box]).withColumn("id", F.monotonically_increasing_id()))
     cell = [F.least(F.floor((c(v) - c(f"{v}0")) / (c(f"{v}1") - c(f"{v}0")) * side), F.lit(side - 1)).alias(f"c{v}") for v in "xy"]
-    thin = inside.select(key, "x", "y", "x0", "y0", "x1", "y1", *cell).groupBy(key, "cx", "cy").agg(F.count("*").alias("n"), F.min(F.struct("x", "y", "x0", "y0", "x1", "y1")).alias("p")).select(key, "n", "p.*")
+    near = spatial.nearest_neighbours(alike, radius, (key,)).where("d > 0").groupBy(key).agg(F.percentile("d", F.array(*map(F.lit, shares or (0.5,)))).alias("near"))
+    sizes = alike.groupBy(key).agg(F.count("*").alias("many"), F.sum("n").alias("n"), *[F.var_samp(v).alias(f"v{v}") for v in "xy"], F.covar_samp("x", "y").alias("vxy")).join(near, key, "left")
+    told = alike.drop("n").join(sizes.select(key, "many"), key)
+    few = told.where(c("many") <= MOST_ALPHA).select(key, "x", "y", *box)
+    more = told.where(c("many") > MOST_ALPHA).select(key, "x", "y", *box, *cell).groupBy(key, "cx", "cy").agg(F.min(F.struct("x", "y", *box)).alias("p")).select(key, "p.*")
+    points = few.union(more).join(sizes.drop("many"), key)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.unique(pdf[["x", "y"]].to_numpy(float), axis=0)
-        box = float((pdf["x1"].iloc[0] - pdf["x0"].iloc[0]) * (pdf["y1"].iloc[0] - pdf["y0"].iloc[0]))
-        best, used = 0.0, 0.0
-        if len(p) > 2:
-            near = np.array([np.partition(((p - q) ** 2).sum(1), 1)[1] for q in p]) ** 0.5
-            alphas = [1 / (2 * max(float(np.quantile(near, share)), 1e-9)) for share in shares or (0.5,)]
-            tries = [(area * (1 - penalty * k), -k, area, alphas[k]) for k, area in enumerate(kernels.alpha_areas(p, alphas))]
-            _, _, area, used = max(tries)
-            best = area / box if box > 0 else 0.0
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [int(pdf["n"].sum())], "coverage": [best], "alpha": [used]})
-
-    return thin.groupBy(key).applyInPandas(run, f"{key} {inside.schema[key].dataType.simpleString()}, n long, coverage double, alpha double")
+        p, first = pdf[["x", "y"]].to_numpy(float), pdf.iloc[0]
+        bounds = tuple(float(first[v]) for v in box)
+        whole = (bounds[2] - bounds[0]) * (bounds[3] - bounds[1])
+        area, used = 0.0, 0.0
+        if whole > 0 and len(p) > (2 if shares else 3) and first["near"] is not None:
+            if shares:
+                tries = sorted({round(1 / (2 * float(d)), 8) for d in first["near"]}, reverse=True)
+                found = [(sum(a) - penalty * sum(a) * (len(a) - 1) + largest * max(a), -k, sum(a), tries[k]) for k, a in enumerate(kernels.alpha_polygons(p, tries)) if a]
+                _, _, area, used = max(found) if found else (0.0, 0, kernels.buffered_in_box(kernels.convex_hull(p), 0.0, bounds), 0.0)
+            else:
+                middle = float(first["near"][0])
+                used = 1 / (2 * middle)
+                area = kernels.alpha_areas(p, [used])[0]
+                if area / whole < 0.05:
+                    half = (first["vx"] - first["vy"]) / 2
+                    minor = max((first["vx"] + first["vy"]) / 2 - float(np.hypot(half, first["vxy"])), 0.0) ** 0.5
+                    area = kernels.buffered_in_box(kernels.convex_hull(p), max(0.75, 3 * minor, 0.5 * middle), bounds)
+        return pd.DataFrame({key: [first[key]], "n": [int(first["n"])], "coverage": [area / whole if whole > 0 else 0.0], "alpha": [used]}).astype({key: pdf[key].dtype})
+
+    return points.groupBy(key).applyInPandas(run, f"{key} {inside.schema[key].dataType.simpleString()}, n long, coverage double, alpha double")
 
 
 def pruned(boxes: DataFrame, scene: str, threshold: float = 0.0008, least: float = 0.5) -> DataFrame:
