@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Word classes named by the operators' contracts: one for prose words, one for runs without white space.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,14 +50,58 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows up to which a table of ids is broadcast.
-MOST_BROADCAST = 1_000_000
+class Workspace:
+    """Tables written as Parquet under the shared folder, to cut lineage; they are deleted when the block ends.
 
+    Inside the block the shuffle files of a write are dropped as soon as it is done, so disk holds the live tables and
+    one job's shuffles, however many steps there are. What outlives the block must be read from it before (``cut``).
+    """
 
-def counted(ids: DataFrame) -> DataFrame:
-    """``ids`` (narrow rows, written first), to be broadcast if they are at most MOST_BROADCAST, else joined as any table."""
-    ids = cut(ids)
-    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Workspace:
+        self.before = self.spark.conf.get(self._CLEANUP, "false")
+        self.spark.conf.set(self._CLEANUP, "true")
+        return self
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.tables)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables that ``cut`` gave and nothing reads any more."""
+        for path in [path for table, path in self.tables if any(table is frame for frame in frames)]:
+            delete(self.spark, path)
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.conf.set(self._CLEANUP, self.before)
+        delete(self.spark, self.folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark wrote it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+#: Bytes up to which a table of ids is broadcast.
+MOST_BROADCAST = 16 << 20
+
+
+def counted(ids: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """``ids`` (one column, written first), to be broadcast if it has at most MOST_BROADCAST bytes, else joined as any table."""
+    ids = work.cut(ids) if work else cut(ids)
+    kind = ids.schema[0].dataType
+    width = F.lit(8) if isinstance(kind, T.NumericType) else F.coalesce(F.length(F.col(ids.columns[0]).cast("string")), F.lit(0))
+    size = ids.agg(F.sum(width.cast("long") + 16)).first()[0] or 0
+    return F.broadcast(ids) if size <= MOST_BROADCAST else ids
 
 
 def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

@@ -11,6 +11,7 @@ probability of their weighted Jaccard similarity, sum(min) / sum(max).
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bytewords import GOLDEN, combine, group_hash, mix, windows, words
-from plumbline.llm.common import chunks, counted, cut
+from plumbline.llm.common import Workspace, chunks, counted, cut
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: 30 bands of 5 coordinates: a pair at the threshold shares no band with probability 7e-6.
 BANDS, ROWS = 30, 5
-#: Holders up to which a shingle counts as rare, so that its holders may be paired.
-RARE = 8
+#: Ratio of the lengths that one class of lengths holds.
+STEP = 1.1
 _GAP = re.compile(rb"[^0-9a-z\x80-\xff]+")
 
 
@@ -110,22 +111,30 @@ def digest(text: str | None) -> bytes | None:
     return hashlib.blake2b(plain or b"\x00" + raw, digest_size=16).digest()
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)))
+def _lists(rows: list[np.ndarray | None]) -> pa.Array:
+    sizes = [0 if r is None else len(r) for r in rows]
+    values = np.concatenate([*(r for r in rows if r is not None), np.zeros(0, np.int64)]).astype(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes], dtype=np.int32)), pa.array(values), mask=pa.array([r is None for r in rows], pa.bool_()))
 
 
 def _sketcher(bands: int, rows: int, size: int):
+    """Rows of (id, digest, band keys); of equal digests in a batch only the first is sketched, the others have null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            keys: list[np.ndarray] = []
-            for a, b in chunks(texts):
-                doc, value, count = shingles(texts[a:b], size)
+            digests = [digest(t) for t in texts]
+            seen = {d: i for i, d in reversed(list(enumerate(digests))) if d is not None}
+            first = sorted(seen.values())
+            keys: list[np.ndarray | None] = [None] * len(texts)
+            own = [texts[i] for i in first]
+            for a, b in chunks(own):
+                doc, value, count = shingles(own[a:b], size)
                 got = band_keys(signatures(doc, value, count, b - a, bands * rows), bands, rows)
                 some = np.bincount(doc, minlength=b - a) > 0
-                keys += [x if y else x[:0] for x, y in zip(got, some, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(t) for t in texts], pa.binary()), _lists(keys)], ["id", "vertex", "bands"])
+                for i, x, y in zip(first[a:b], got, some, strict=True):
+                    keys[i] = x if y else x[:0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), _lists(keys)], ["id", "digest", "bands"])
 
     return run
 
@@ -141,46 +150,45 @@ def _shingler(size: int):
                 nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
                 element = mix(value[of] + nth.astype(np.uint64) * GOLDEN).view(np.int64)
                 parts = np.split(element, np.searchsorted(doc[of], np.arange(1, b - a)))
-                yield pa.RecordBatch.from_arrays([pa.array([digest(t) for t in texts[a:b]], pa.binary()), _lists(parts)], ["vertex", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(t) for t in texts[a:b]], pa.binary()), _lists(parts)], ["digest", "elements"])
 
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """(vertex, component) of undirected edges (a, b); a component is named by its smallest vertex.
 
-    Alternates the large-star and the small-star step until nothing changes. All of it stays in tables:
-    the driver sees only a count and a checksum per round.
+    Alternates the large-star and the small-star step until every edge leads from a vertex to its component's name. All
+    of it stays in tables: the driver sees one yes or no a round.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    now = work.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        print_of = now.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0))).first()
-        if print_of == before or print_of[0] == 0:
+        ends = now.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
             return now.select(F.col("a").alias("vertex"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
-        before = print_of
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        now = cut(small.select(F.col("a"), F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b"), F.col("m"))).distinct())
+        before, now = now, work.cut(small.select(F.col("a"), F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b"), F.col("m"))).distinct())
+        work.drop(before)
 
 
-def _elements(source: DataFrame, vertices: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(vertex, elements, n): all shingles of the needed vertices, each from the text of one of its rows."""
-    ids = counted(vertices.join(needed, "vertex", "left_semi").select(F.col("id").alias("want")))
+def _elements(source: DataFrame, needed: DataFrame, size: int, work: Workspace) -> DataFrame:
+    """(v, elements, n): all shingles of the needed vertices (v, digest, id), each from the text of its row ``id``."""
+    ids = counted(needed.select(F.col("id").alias("want")).distinct(), work)
     texts = source.join(ids, source["id"].eqNullSafe(ids["want"]), "left_semi").select("text")
-    got = texts.mapInArrow(_shingler(size), "vertex binary, elements array<long>")
-    return got.join(needed, "vertex", "left_semi").dropDuplicates(["vertex"]).withColumn("n", F.size("elements"))
+    got = texts.mapInArrow(_shingler(size), "digest binary, elements array<long>")
+    return got.join(needed.select("v", "digest"), "digest").select("v", "elements").dropDuplicates(["v"]).withColumn("n", F.size("elements"))
 
 
 def _verified(edges: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
     """The edges (a, b) whose texts are similar enough, compared by all their shingles."""
-    left, right = elements.select(F.col("vertex").alias("a"), F.col("elements").alias("x")), elements.select(F.col("vertex").alias("b"), F.col("elements").alias("y"))
+    left, right = elements.select(F.col("v").alias("a"), F.col("elements").alias("x")), elements.select(F.col("v").alias("b"), F.col("elements").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     share = both / (F.size("x") + F.size("y") - both)
-    return cut(edges.join(left, "a").join(right, "b").where(share >= threshold).select("a", "b"))
+    return edges.join(left, "a").join(right, "b").where(share >= threshold).select("a", "b")
 
 
 def near_duplicates(
@@ -190,79 +198,83 @@ def near_duplicates(
 
     Classes are the connected components of the relation "weighted Jaccard similarity of ``size``-word shingles is
     at least ``threshold``". Rows of the same words count as one vertex, so a group of copies is never paired up.
-    In every bucket the vertex that shares most bands with others is the center; the strongest link of each vertex to
-    a center is verified and components are formed. What is left are members outside their bucket's main component.
-    Shingles that no other open vertex has bound the similarity that such a member can reach with anyone, and rare ones
-    that it can reach with those that share none of them: it meets the holders of its rare shingles and, only if the
-    rest would do, the members of its buckets. Pairs whose ends are already connected need no comparison; every other
-    pair that shares a band is compared or excluded by its bound.
+    In every bucket the vertex that shares most bands with others is the center; the most frequent center of each
+    vertex is verified and components are formed. What is left are members outside their bucket's main component.
+    The shingles that no other open vertex has, or just one, bound the similarity that such a member can reach: it
+    meets those with whom it shares a shingle that nobody else has, and, only if the rest would do, the members of its
+    buckets whose lengths allow it. Pairs whose ends are already connected need no comparison; every other pair that
+    shares a band is compared or excluded by its bound.
+
+    Buckets are counted and led by aggregates that combine on the map side, and joined by plain equi-joins that adaptive
+    execution can split, so one band may hold any share of the rows.
 
     Null texts: each row is a class of its own, named by its id. Texts without words: equal ones form a class. Fewer
     words than ``size``: one shingle of all. Repeated rows and ids: one output row each. Null ids are ignored when
     a class is named (its name is null if all are). Empty table: no rows. Other columns are not looked at.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    with Workspace(docs.sparkSession) as work:
+        return cut(_classes(source, work, threshold, size, bands, rows)).withColumnRenamed("id", id_col)
+
+
+def _classes(source: DataFrame, work: Workspace, threshold: float, size: int, bands: int, rows: int) -> DataFrame:
     kind = source.schema["id"].dataType.simpleString()
-    sketch = cut(source.mapInArrow(_sketcher(bands, rows, size), f"id {kind}, vertex binary, bands array<long>"))
-    whole = sketch.where("vertex is not null").groupBy("vertex").agg(F.min("id").alias("id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
-    whole = cut(whole)
-    vertices = whole.drop("bands")
-    dealt = whole.select("vertex", F.explode("bands").alias("band")).repartition("band")
-    members = cut(dealt.join(dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"))
-    reach = members.groupBy("vertex").agg(F.sum("n").alias("reach"))
-    ranked = members.join(reach, "vertex").select("band", "vertex", F.struct("reach", "vertex").alias("rank"))
-    center = ranked.groupBy("band").agg(F.max("rank")["vertex"].alias("center"))
-    star = members.join(center, "band").where("vertex <> center").groupBy("vertex", "center").count()
-    best = star.groupBy("vertex").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
-    tried = cut(best.select(F.greatest("vertex", "center").alias("a"), F.least("vertex", "center").alias("b")).distinct())
-    elements = cut(_elements(source, vertices, reach.select("vertex"), size))
-    first = cut(components(_verified(tried, elements, threshold)))
-
-    placed = cut(members.join(first, "vertex", "left").select("band", "vertex", F.coalesce("component", "vertex").alias("component")))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    open_ = placed.join(mixed, "band", "left_semi")
-    inside = elements.join(open_.select("vertex").distinct(), "vertex", "left_semi")
-    # Elements are rare if at most RARE open vertices hold them; own ones have a single holder.
-    held = inside.select("vertex", F.explode("elements").alias("e")).repartition("e")
-    rare = cut(held.join(held.groupBy("e").agg(F.count("*").alias("k")).where(F.col("k") <= RARE), "e"))
-    few = rare.groupBy("vertex").agg(F.count(F.when(F.col("k") == 1, 1)).alias("own"), F.count("*").alias("rare"))
+    sketch = work.cut(source.mapInArrow(_sketcher(bands, rows, size), f"id {kind}, digest binary, bands array<long>"))
+    whole = sketch.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n_copies"), F.first("bands", ignorenulls=True).alias("bands"))
+    # Vertices get their numbers once, when this table is written.
+    whole = work.cut(whole.withColumn("v", F.monotonically_increasing_id()))
+    told = whole.select("v", F.explode("bands").alias("band"))
+    shared = told.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = work.cut(told.join(shared, "band").groupBy("v").agg(F.sum("n").alias("reach"), F.collect_list("band").alias("bands")))
+
+    placed = members.select("v", "reach", F.explode("bands").alias("band"))
+    center = placed.groupBy("band").agg(F.max(F.struct("reach", "v")).alias("top")).select("band", F.col("top.v").alias("center"))
+    best = placed.join(center, "band").where("v <> center").groupBy("v").agg(F.mode("center", True).alias("center"))
+    tried = work.cut(best.select(F.greatest("v", "center").alias("a"), F.least("v", "center").alias("b")).distinct())
+    elements = work.cut(_elements(source, whole.select("v", "digest", "id").join(members.select("v"), "v", "left_semi"), size, work))
+    first = work.cut(components(_verified(tried, elements, threshold), work))
+
+    named = members.join(first.withColumnRenamed("vertex", "v"), "v", "left").select("v", F.coalesce("component", "v").alias("component"), F.explode("bands").alias("band"))
+    mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
+    opened = work.cut(named.join(mixed, "band", "left_semi").groupBy("v", "component").agg(F.collect_list("band").alias("bands")))
+    inside = elements.join(opened.select("v"), "v", "left_semi").select("v", F.explode("elements").alias("e"))
+    few = inside.groupBy("e").agg(F.count("*").alias("k"), F.min("v").alias("a"), F.max("v").alias("b")).where("k <= 2")
+    # (a, b): shingles that only these two open vertices hold; (a, a): those that a alone holds.
+    few = work.cut(few.groupBy("a", "b").agg(F.count("*").alias("m")))
+    own = F.when(F.col("a") == F.col("b"), F.col("m")).otherwise(0)
+    held = few.select(F.col("a").alias("v"), own.alias("own"), "m").union(few.where("a <> b").select("b", F.lit(0).cast("long"), "m"))
+    held = held.groupBy("v").agg(F.sum("own").alias("own"), F.sum("m").alias("rare"))
     # cap: the most elements that a vertex can share with another open one; rcap: with one that shares no rare element.
     zero = F.lit(0)
-    capped = inside.join(few, "vertex", "left").select("vertex", "n", (F.col("n") - F.coalesce("own", zero)).alias("cap"), (F.col("n") - F.coalesce("rare", zero)).alias("rcap"))
-    open_ = cut(open_.join(capped, "vertex"))
-    home = open_.groupBy("band", "component").agg(F.count("*").alias("k"), F.min("n").alias("least"))
-    home = home.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("home"), F.min("least").alias("least"))
-    outside = open_.join(home, "band").where("component <> home")
-    # The similarity that is left with the shortest possible partner, but no shorter than what is shared.
-    bound = lambda cap: F.col(cap) / (F.col("n") + F.greatest("least", cap) - F.col(cap)) >= threshold - 1e-9
-    outside = outside.where(bound("cap")).select("band", F.col("vertex").alias("v"), F.col("component").alias("c"), F.col("n").alias("vn"), F.col("cap").alias("vcap"), bound("rcap").alias("wide"))
-    outside = cut(outside)
-    other = F.col("c") != F.col("component")
-    shared = F.least("cap", "vcap", "n", "vn")
-    enough = shared >= (threshold - 1e-9) * (F.col("n") + F.col("vn") - shared)
-    # First the partners that share a rare element: at most RARE for each. Then, for the few vertices that could reach
-    # the threshold without one, all members of their buckets, every pair in the first bucket that it shares.
-    several = rare.where("k > 1").select("e", "vertex")
-    facts = open_.select("vertex", "component", "n", "cap").distinct()
-    lone = outside.select("v", "c", "vn", "vcap").distinct()
-    near = lone.join(several.withColumnRenamed("vertex", "v"), "v").join(several, "e").join(facts, "vertex").where(other & enough).select("v", "vertex")
-    wide = outside.where("wide")
-    there = open_.join(wide.select("band").distinct(), "band", "left_semi")
-    dealt_to = there.groupBy("vertex").agg(F.collect_set("band").alias("bands"))
-    left = wide.join(dealt_to.withColumnsRenamed({"vertex": "v", "bands": "vbands"}), "v")
-    first_shared = F.array_min(F.array_intersect("bands", "vbands")) == F.col("band")
-    far = left.join(there.join(dealt_to, "vertex"), "band").where(other & enough & first_shared).select("v", "vertex")
-    crossing = near.union(far).select(F.greatest("v", "vertex").alias("a"), F.least("v", "vertex").alias("b")).distinct()
-    second = _verified(crossing.join(tried, ["a", "b"], "left_anti"), elements, threshold)
+    facts = opened.join(elements.select("v", "n"), "v").join(held, "v", "left")
+    facts = work.cut(facts.select("v", "component", "bands", "n", (F.col("n") - F.coalesce("own", zero)).alias("cap"), (F.col("n") - F.coalesce("rare", zero)).alias("rcap")))
+
+    low = threshold - 1e-9
+    pair = few.where("a <> b").select("a", "b")
+    of = lambda end: facts.select(F.col("v").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("component", "n", "cap")))
+    reached = F.least("cap_a", "cap_b", "n_a", "n_b")
+    near = pair.join(of("a"), "a").join(of("b"), "b").where((F.col("component_a") != F.col("component_b")) & (reached >= low * (F.col("n_a") + F.col("n_b") - reached))).select("a", "b")
+
+    # Members outside the largest component of a bucket meet the others whose lengths lie where the threshold is in reach.
+    open_ = facts.select("v", "component", "n", "rcap", F.explode("bands").alias("band"))
+    home = open_.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "component")).alias("home"))
+    step = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / math.log(STEP) + 1e-9).cast("int")
+    shortest, longest = F.col("n") * low, F.least(F.col("n") / low, F.col("rcap") * (1 + low) / low - F.col("n"))
+    outside = open_.join(home, "band").where((F.col("component") != F.col("home.component")) & (longest >= shortest))
+    outside = outside.select("band", F.col("v").alias("a"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("rcap").alias("most"), F.explode(F.sequence(step(F.floor(shortest)), step(F.ceil(longest)))).alias("step"))
+    reached = F.least("rcap", "most")
+    far = outside.join(open_.withColumn("step", step(F.col("n"))), ["band", "step"]).where((F.col("c") != F.col("component")) & (reached >= low * (F.col("n") + F.col("m") - reached)))
+    crossing = near.union(far.select("a", F.col("v").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    second = work.cut(_verified(crossing.join(tried, ["a", "b"], "left_anti"), elements, threshold))
     name = lambda c, to: first.select(F.col("vertex").alias(c), F.col("component").alias(to))
     joined = second.join(name("a", "ca"), "a", "left").join(name("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    merged = components(joined).select(F.col("vertex").alias("component"), F.col("component").alias("final"))
-
-    classes = vertices.join(first, "vertex", "left").withColumn("component", F.coalesce("component", "vertex")).join(merged, "component", "left")
-    classes = cut(classes.select("vertex", "id", "n_copies", F.coalesce("final", "component").alias("class")))
-    named = classes.groupBy("class").agg(F.min("id").alias("class_id"))
-    named = classes.join(named, "class").select("vertex", "class_id", "n_copies")
-    rest = sketch.select(F.col("id"), F.col("vertex"))
-    known = rest.where("vertex is not null").join(named, "vertex").select("id", "class_id", "n_copies")
-    alone = rest.where("vertex is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
-    return known.union(alone).withColumnRenamed("id", id_col)
+    merged = components(joined, work).select(F.col("vertex").alias("component"), F.col("component").alias("final"))
+
+    classes = whole.select("v", "digest", "id", "n_copies").join(first.withColumnRenamed("vertex", "v"), "v", "left").withColumn("component", F.coalesce("component", "v")).join(merged, "component", "left")
+    classes = work.cut(classes.select("digest", "id", "n_copies", F.coalesce("final", "component").alias("class")))
+    ids = classes.groupBy("class").agg(F.min("id").alias("class_id"))
+    told = classes.join(ids, "class").select("digest", "class_id", "n_copies")
+    rest = sketch.select("id", "digest")
+    known = rest.where("digest is not null").join(told, "digest").select("id", "class_id", "n_copies")
+    alone = rest.where("digest is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
+    return known.union(alone)
