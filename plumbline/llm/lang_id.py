@@ -2,8 +2,12 @@
 
 Each language's sample becomes a suffix automaton. A text is cut into phrases, each the longest match with the sample
 from where the last phrase ended; the language whose phrases cost fewest bits a character, phrases * log2(sample
-length) / characters, wins. Automata are dense tables, and all texts of a batch are parsed side by side in lanes of
-``LANE`` code points: a phrase ends with its lane, which costs every language at most one phrase a lane.
+length) / characters, wins. Moves of the automata are packed: the states' rows are laid over each other in one array
+where their moves do not meet, so a table grows with the sample, not with states times characters.
+
+All texts of a batch are parsed side by side in lanes of ``LANE`` code points. A lane begins as if a phrase began there;
+then lanes whose predecessor ended in another state are parsed again from that state until they fall into step with
+what is there. What comes out is the parse of the whole text from its first character.
 """
 
 from __future__ import annotations
@@ -14,21 +18,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.common import chunks, in_training
 
 LANE = 256
-#: Characters of each language's sample, and how many of its rows are drawn (on average) to fill it.
-SAMPLE_CHARS, SAMPLE_ROWS = 20_000, 60
+#: Labelled rows of each language that training draws at most, and the characters that their texts may have together.
+#: Rows are used whole, the shortest first, and one at least.
+SAMPLE_ROWS, SAMPLE_CHARS = 160, 160_000
 UNKNOWN = "und"
+_TRIES = 16
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
-    """(states, alphabet) int32 table of moves of the automaton of all substrings; -1: no such substring."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Moves {code: state} of each state of the automaton of all substrings; state 0 is the empty string."""
     link, length, moves = [-1], [0], [{}]
     last = 0
     for c in codes:
@@ -53,47 +59,125 @@ def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
                     moves[p][c] = twin
                     p = link[p]
         last = new
-    table = np.full((len(link), alphabet), -1, np.int32)
-    for state, out in enumerate(moves):
-        if out:
-            table[state, list(out)] = list(out.values())
-    return table
+    return moves
+
+
+def packed(moves: list[dict[int, int]], n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, to): state s has a move by c if owner[base[s] + c] is s, and it leads to to[base[s] + c]."""
+    base = np.zeros(len(moves), np.int32)
+    owner = [-1] * (2 * n_codes)
+    to = [0] * (2 * n_codes)
+    free, end = n_codes, n_codes  # cells below free are taken or given up, those from end on were never used
+    for state in sorted(range(len(moves)), key=lambda s: -len(moves[s])):
+        out = moves[state]
+        if not out:
+            continue
+        codes = sorted(out)
+        cell = free if len(codes) == 1 else max(free, end - 2 * n_codes)
+        for _ in range(_TRIES):
+            while cell < end and owner[cell] >= 0:
+                cell += 1
+            at = cell - codes[0]
+            if all(owner[at + c] < 0 for c in codes):
+                break
+            cell += 1
+        else:
+            at = end - codes[0]  # a few tries, then new cells: states of one move fill the gaps later
+        base[state] = at
+        for c in codes:
+            owner[at + c], to[at + c] = state, out[c]
+        end = max(end, at + codes[-1] + 1)
+        while free < end and owner[free] >= 0:
+            free += 1
+        if len(owner) < end + n_codes:
+            owner += [-1] * len(owner)
+            to += [0] * len(to)
+    size = int(base.max(initial=0)) + n_codes
+    return base, np.array((owner + [-1] * size)[:size], np.int32), np.array((to + [0] * size)[:size], np.int32)
+
+
+@dataclass(frozen=True)
+class Parser:
+    """The packed automaton of one language; ``root`` holds the moves of state 0 by every code, 0 where there is none."""
+
+    base: np.ndarray
+    owner: np.ndarray
+    to: np.ndarray
+    root: np.ndarray
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """2 * next state + whether a phrase begins. At the root no phrase is under way, so whatever comes begins one;
+        a character of no sample is one by itself."""
+        at = self.base[state] + code
+        on = self.owner[at] == state
+        return np.where(on, self.to[at], self.root[code]).astype(np.int64) * 2 + (~on | (state == 0))
+
+    def begins(self, codes: np.ndarray, first: np.ndarray, width: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Whether a phrase begins, for every code. Lanes are first : first + width; ``after`` tells the lanes that go on
+        where the lane before them ends."""
+        trace = np.zeros(len(codes), np.int64)
+        self._run(codes, trace, first, width, np.zeros(len(first), np.int64), False)
+        todo = np.flatnonzero(after)
+        entered = np.zeros(len(first), np.int64)
+        while len(todo):
+            state = trace[first[todo] - 1] >> 1
+            todo, state = todo[state != entered[todo]], state[state != entered[todo]]
+            entered[todo] = state
+            open_ = todo[self._run(codes, trace, first[todo], width[todo], state, True)] + 1
+            open_ = open_[open_ < len(first)]
+            todo = open_[after[open_]]
+        return trace & 1
+
+    def _run(self, codes: np.ndarray, trace: np.ndarray, first: np.ndarray, width: np.ndarray, state: np.ndarray, again: bool) -> np.ndarray:
+        """Parse lanes from ``state`` into ``trace``; with ``again`` only until they meet what is there. The lanes (their
+        places) that did not meet it before they ended."""
+        alive = np.argsort(-width, kind="stable")
+        ended: list[np.ndarray] = []
+        j = 0
+        while len(alive):
+            short = np.searchsorted(-width[alive], -j, "left")  # widths fall, so lanes that are over come last
+            ended.append(alive[short:])
+            alive = alive[:short]
+            if not len(alive):
+                break
+            at = first[alive] + j
+            got = self.step(state[alive], codes[at])
+            state[alive] = got >> 1
+            if again:
+                met = (trace[at] >> 1) == (got >> 1)
+                trace[at] = got
+                alive = alive[~met]
+            else:
+                trace[at] = got
+            j += 1
+        return np.concatenate([*ended, np.zeros(0, np.int64)]).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
     classes: np.ndarray  # code point -> class, 0 for those of no sample
-    steps: tuple[np.ndarray, ...]  # flat (state * classes + class) -> 2 * next state + whether a phrase begins
+    parsers: tuple[Parser, ...]
     bits: np.ndarray  # bits that a phrase costs
-    n_classes: int
 
     def costs(self, texts: list[str | None]) -> np.ndarray:
         """(texts, languages): bits a character."""
         out = np.zeros((len(texts), len(self.languages)))
-        for a, b in chunks(texts, 4 << 20):
+        for a, b in chunks(texts):
             raw = [t or "" for t in texts[a:b]]
             points = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), np.uint32)
-            codes = self.classes[np.minimum(points, len(self.classes) - 1)]
+            codes = self.classes[points].astype(np.int64)
             sizes = np.fromiter(map(len, raw), np.int64, len(raw))
             begin = np.cumsum(sizes) - sizes
             lanes = -(-sizes // LANE)
             of = np.repeat(np.arange(len(raw)), lanes)
-            first = begin[of] + LANE * (np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+            first = begin[of] + LANE * nth
             width = np.minimum(LANE, begin[of] + sizes[of] - first)
-            # Long lanes first, so the lanes still running are always the first ones.
-            order = np.argsort(-width, kind="stable")
-            of, first, width = of[order], first[order], width[order]
-            running = np.searchsorted(-width, -np.arange(LANE), "left")
-            for k, step in enumerate(self.steps):
-                state, count = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
-                for j in range(LANE):
-                    if not (n := running[j]):
-                        break
-                    got = step[state[:n] * self.n_classes + codes[first[:n] + j]]
-                    state[:n] = got >> 1
-                    count[:n] += got & 1
-                out[a:b, k] = np.bincount(of, count, len(raw)) * self.bits[k] / np.maximum(sizes, 1)
+            text_of = np.repeat(np.arange(len(raw)), sizes)
+            for k, parser in enumerate(self.parsers):
+                count = np.bincount(text_of, parser.begins(codes, first, width, nth > 0), len(raw))
+                out[a:b, k] = count * self.bits[k] / np.maximum(sizes, 1)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -115,46 +199,57 @@ def train(samples: dict[str, str]) -> Model:
     """A model of {language: text}; equal costs go to the language that comes first in order of names."""
     languages = tuple(sorted(samples))
     lower = [samples[x].lower() for x in languages]
-    chars = sorted({c for text in lower for c in text if ord(c) < 0x10000})
+    chars = sorted({c for text in lower for c in text})
     place = {c: i + 1 for i, c in enumerate(chars)}
-    classes = np.zeros(0x10001, np.int64)
-    for code in range(0x10000):
+    classes = np.zeros(0x110000, np.int32)
+    for code in range(0x110000):
         low = chr(code).lower()
-        classes[code] = place.get(low, 0) if len(low) == 1 else 0
-    n, steps, bits = len(chars) + 1, [], []
+        if low in place:
+            classes[code] = place[low]
+    parsers, bits = [], []
     for text in lower:
-        table = suffix_automaton([place.get(c, 0) for c in text], n)
-        table[:, 0] = -1  # characters of no sample match nothing
-        root = np.maximum(table[0], 0)
-        # At the root no phrase is under way, so whatever comes begins one; a character of no sample is one by itself.
-        step = np.where(table >= 0, 2 * table, 2 * root[None, :] + 1).astype(np.int32)
-        step[0] |= 1
-        steps.append(step.reshape(-1))
+        moves = suffix_automaton([place[c] for c in text])
+        root = np.zeros(len(chars) + 1, np.int32)
+        root[list(moves[0])] = list(moves[0].values())
+        parsers.append(Parser(*packed(moves, len(chars) + 1), root))
         bits.append(np.log2(max(2, len(text))))
-    return Model(languages, classes, tuple(steps), np.array(bits), n)
+    return Model(languages, classes, tuple(parsers), np.array(bits))
 
 
 def fit(docs: DataFrame, training: Column | None = None, sample_chars: int = SAMPLE_CHARS, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from at most ``sample_chars`` characters of each language's labelled rows, drawn by hash of id and text.
+    """A model from at most ``sample_rows`` whole texts of each language, drawn by hash of id and text.
 
-    About ``sample_rows`` rows of a language reach the driver, however many it has. Rows with a null id, text or
-    language and, by the fold rule, rows held out teach nothing. No labelled rows: every prediction is ``und``.
+    Of the drawn texts the shortest are used, as many as together have at most ``sample_chars`` characters, and one at
+    least. Rows of equal id and text count once. Rows
+    with a null id, an empty or null text or a null language and, by the fold rule, rows held out teach nothing. No
+    labelled rows: every prediction is ``und``. The driver sees a few numbers a drawn row and the texts that are used.
     """
     admitted = in_training(F.col("id")) if training is None else training
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("text") != "")).where(admitted)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.select("lang", "text", F.xxhash64("id", "text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return train({})
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_rows / n))])
-    draw = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 20)) / float(1 << 20)
-    drawn = rows.where(draw < F.element_at(share, F.col("lang"))).select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("id", "text").alias("order"))
+    # Four times the wanted number is expected below the limit, which no language with more rows misses.
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * sample_rows / max(n, 1)))])
+    low = rows.where(F.pmod("h", F.lit(1 << 40)) <= F.element_at(share, F.col("lang")) * float(1 << 40))
+    drawn = low.groupBy("lang", "h").agg(F.max(F.length("text")).alias("n"))
+    order = Window.partitionBy("lang").orderBy("h")
+    drawn = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_rows).collect()
+    used: list[tuple[str, int]] = []
+    for lang in counts:
+        total = 0
+        for n, h in sorted((r["n"], r["h"]) for r in drawn if r["lang"] == lang):
+            total += n + 1
+            if total <= sample_chars or total == n + 1:
+                used.append((lang, h))
     samples: dict[str, list[str]] = {}
-    for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["order"], r["text"])):
-        samples.setdefault(r["lang"], []).append(r["text"])
-    # Every row gives the same share of the sample, so no long text fills it alone.
-    parts = {lang: max(1, sample_chars // len(texts)) for lang, texts in samples.items()}
-    return train({lang: "\n".join(t[: parts[lang]] for t in sorted(texts, key=len))[:sample_chars] for lang, texts in samples.items()})
+    wanted = F.col("h").isin([h for _, h in used])
+    for r in sorted(low.where(wanted).groupBy("lang", "h").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["lang"], r["h"])):
+        if (r["lang"], r["h"]) in used:
+            samples.setdefault(r["lang"], []).append(r["text"])
+    return train({lang: "\n".join(texts) for lang, texts in samples.items()})
 
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

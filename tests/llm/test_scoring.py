@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -132,33 +133,40 @@ def test_noisy_or():
     assert toxicity.scored.__doc__
 
 
-def phrases(text, sample, lane=lang_id.LANE):
-    """Cross parsing by str.find."""
-    total = 0
-    for k in range(0, len(text), lane):
-        part, at = text[k : k + lane], 0
-        while at < len(part):
-            n = 1
-            while at + n < len(part) and part[at : at + n + 1] in sample:
-                n += 1
-            if part[at] not in sample:
-                n = 1
-            at += n
-            total += 1
+def phrases(text, sample):
+    """Cross parsing by str.find, over the whole text."""
+    total, at = 0, 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in sample:
+            n += 1
+        at += n if text[at] in sample else 1
+        total += 1
     return total
 
 
 def test_cross_parsing_equals_brute_force():
     rng = random.Random(4)
-    samples = {"a": "".join(rng.choice("abcd ") for _ in range(400)), "b": "".join(rng.choice("cdefé ") for _ in range(300))}
+    samples = {"a": "".join(rng.choice("abcd ") for _ in range(400)), "b": "".join(rng.choice("cdefé😀 ") for _ in range(300)), "c": "x" * 900 + "abc" * 500}
     model = lang_id.train(samples)
-    texts = ["".join(rng.choice("abcdefé #") for _ in range(rng.randrange(1, 700))) for _ in range(30)] + ["abc" * 300]
+    texts = ["".join(rng.choice("abcdefé😀 #") for _ in range(rng.randrange(1, 700))) for _ in range(30)] + ["abc" * 300, "x" * 2500, samples["a"][7:] * 3, "#" + samples["c"], "a" * 256, "ab" * 128 + "c"]
     got = model.costs(texts)
     for i, text in enumerate(texts):
         for k, lang in enumerate(model.languages):
             assert math.isclose(got[i, k], phrases(text, samples[lang]) * math.log2(len(samples[lang])) / len(text), rel_tol=1e-9), (i, lang)
 
 
+def test_language_sample_is_drawn_by_row(spark):
+    """Rows of one id, copies, long texts and few rows: every language is learned."""
+    a, b, c = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1][:3]
+    rows = [(a, "ta re mi no %d" % i, "aa") for i in range(400)] + [(b, "kol wex zut", "bb")] * 300 + [(c, "lon gon " * 9000, "cc")] + [(None, "x y", "dd"), (a, None, "ee"), (a, "", "ff")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(docs)
+    want = {lang for i, t, lang in rows if i is not None and t and zlib.crc32(str(i).encode()) % 3 != 1}
+    assert set(model.languages) == want and want
+    assert lang_id.identified(docs.limit(0), model).count() == 0
+
+
 def test_language_of_held_out_rows(spark, tables):
     docs, _ = tables
     model = lang_id.fit(docs)
