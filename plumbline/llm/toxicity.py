@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.bytewords import Words, mix, words
-from plumbline.llm.common import chunks, in_training
+from plumbline.llm.common import Workspace, chunks, in_training
 
 #: Bytes of the word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6, 7, 8, 9, 10, 12)
 #: Labelled documents of each class that training reads at most; the bound is a parameter of fit().
-MOST_ROWS, MOST_FEATURES = 3000, 4000
+MOST_ROWS = 3000
+#: The size of the model, and what a feature must show to enter it.
+MOST_FEATURES, LEAST_TEXTS, LEAST_GAIN = 4000, 3, 5
 THRESHOLD = 0.7
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?\n")] = True
@@ -91,11 +93,8 @@ class Model:
         return score, spans
 
 
-def train(texts: list[str | None], toxic: np.ndarray, most_features: int = MOST_FEATURES, epochs: int = 250, decay: float = 2e-4) -> Model:
-    """Features that tell the classes apart best (G test on document counts), then Adam on the noisy-or likelihood."""
-    toxic = np.asarray(toxic, bool)
-    n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
-    prior = float(np.clip(toxic.mean() if len(toxic) else 0.1, 0.01, 0.99))
+def presence(texts: list[str | None], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, toxic texts that hold it, other texts that hold it), features sorted."""
     counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a, b in chunks(texts):
         found = words(texts[a:b])
@@ -106,14 +105,19 @@ def train(texts: list[str | None], toxic: np.ndarray, most_features: int = MOST_
         counts.append((feature, np.bincount(inverse, bad, len(feature)), np.bincount(inverse, ~bad, len(feature))))
     merged = [np.concatenate(x) for x in zip(*counts, strict=True)] if counts else [np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)]
     feature, inverse = np.unique(merged[0], return_inverse=True)
-    k1, k0 = np.bincount(inverse, merged[1], len(feature)), np.bincount(inverse, merged[2], len(feature))
+    return feature, np.bincount(inverse, merged[1], len(feature)), np.bincount(inverse, merged[2], len(feature))
+
+
+def telling(k1, k0, n1: int, n0: int, log=np.log, most=np.maximum):
+    """(whether a feature is usable, its G test gain) from the numbers of toxic and other texts that hold it: at least
+    LEAST_TEXTS toxic ones, more than twice the share among them, and a gain above LEAST_GAIN."""
     r1, r0, r = k1 / n1, k0 / n0, (k1 + k0) / (n1 + n0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.nan_to_num(k1 * np.log(r1 / r)) + np.nan_to_num(k0 * np.log(r0 / r))
-    usable = np.flatnonzero((k1 >= 3) & (r1 > 2 * r0) & (gain > 5))
-    chosen = np.sort(feature[usable[np.argsort(-gain[usable], kind="stable")[:most_features]]])
+    gain = k1 * log(most(r1 / r, 1e-300)) + k0 * log(most(r0 / r, 1e-300))
+    return (k1 >= LEAST_TEXTS) & (r1 > 2 * r0) & (gain > LEAST_GAIN), gain
+
 
-    rows, columns, owner, n_sent = [], [], [], 0
+def occurrences(texts: list[str | None], chosen: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each text its number of sentences, and (sentence, place in ``chosen``) of every chosen feature in it."""
     blank = Model(chosen, np.zeros(len(chosen)), 0.0)
     table = blank._table()
     for a, b in chunks(texts):
@@ -121,22 +125,37 @@ def train(texts: list[str | None], toxic: np.ndarray, most_features: int = MOST_
         number = _sentences(found)
         first = np.flatnonzero(np.diff(number, prepend=-1))
         of = np.searchsorted(number[first], number)
-        owner.append(found.doc[first] + a)
+        owner = found.doc[first]
+        rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at, f in _features(found):
             maybe = np.flatnonzero(table[(f >> np.uint64(64 - _SLOTS)).astype(np.int64)] >= 0)
             if len(maybe) and len(chosen):
                 place = np.minimum(np.searchsorted(chosen, f[maybe]), len(chosen) - 1)
                 true = chosen[place] == f[maybe]
-                rows.append(of[at[maybe[true]]] + n_sent)
+                rows.append(of[at[maybe[true]]])
                 columns.append(place[true])
-        n_sent += len(first)
-    if not rows or toxic.all() or not toxic.any():
+        row, column = np.concatenate(rows), np.concatenate(columns)
+        order = np.lexsort((column, row))
+        row, column = row[order], column[order]
+        sentences = np.bincount(owner, minlength=b - a)
+        begin = np.cumsum(sentences) - sentences
+        cuts = np.searchsorted(row, np.append(begin, len(first)))
+        for i in range(b - a):
+            own = slice(cuts[i], cuts[i + 1])
+            yield int(sentences[i]), row[own] - begin[i], column[own]
+
+
+def descend(chosen: np.ndarray, toxic: np.ndarray, sentences: np.ndarray, text_of: np.ndarray, sentence: np.ndarray, column: np.ndarray, epochs: int = 250, decay: float = 2e-4) -> Model:
+    """Adam on the noisy-or likelihood: texts with ``sentences`` sentences, and occurrences (text, sentence, column)."""
+    n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
+    prior = float(np.clip(toxic.mean() if len(toxic) else 0.1, 0.01, 0.99))
+    if not len(column) or toxic.all() or not toxic.any():
         return Model(chosen[:0], np.zeros(0), float(np.log(prior / (1 - prior))))
-    row, column, owner = np.concatenate(rows), np.concatenate(columns), np.concatenate(owner)
     # Sentences without any chosen feature differ by their number only.
-    live, row = np.unique(row, return_inverse=True)
-    idle = np.bincount(owner, minlength=len(texts)) - np.bincount(owner[live], minlength=len(texts))
-    home = owner[live]
+    first = np.cumsum(sentences) - sentences
+    live, row = np.unique(first[text_of] + sentence, return_inverse=True)
+    home = np.searchsorted(first, live, "right") - 1
+    idle = sentences - np.bincount(home, minlength=len(sentences))
     # Per document, both classes weigh the same: the threshold, not the sample, decides how rare toxicity is.
     weight = np.where(toxic, 0.5 / n1, 0.5 / n0)
     theta = np.append(np.zeros(len(chosen)), -5.0)
@@ -144,7 +163,7 @@ def train(texts: list[str | None], toxic: np.ndarray, most_features: int = MOST_
     for t in range(1, epochs + 1):
         z = theta[-1] + np.bincount(row, theta[column], len(live))
         p, p0 = 1 / (1 + np.exp(-np.clip(z, -50, 50))), 1 / (1 + np.exp(-theta[-1]))
-        s = np.bincount(home, np.logaddexp(0, z), len(texts)) + idle * np.logaddexp(0, theta[-1])
+        s = np.bincount(home, np.logaddexp(0, z), len(sentences)) + idle * np.logaddexp(0, theta[-1])
         push = weight * np.where(toxic, -1 / np.expm1(np.maximum(s, 1e-9)), 1.0)
         dz = push[home] * p
         grad = np.append(np.bincount(column, dz[row], len(chosen)), dz.sum() + (push * idle).sum() * p0)
@@ -154,31 +173,72 @@ def train(texts: list[str | None], toxic: np.ndarray, most_features: int = MOST_
     return Model(chosen, theta[:-1].copy(), float(theta[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(texts: list[str | None], toxic: np.ndarray, most_features: int = MOST_FEATURES) -> Model:
+    """A model of texts in memory: features that tell the classes apart best, then ``descend``."""
+    toxic = np.asarray(toxic, bool)
+    feature, k1, k0 = presence(texts, toxic)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        usable, gain = telling(k1, k0, max(1, toxic.sum()), max(1, (~toxic).sum()))
+    usable = np.flatnonzero(usable)
+    chosen = np.sort(feature[usable[np.argsort(-gain[usable], kind="stable")[:most_features]]])
+    return _descended(chosen, toxic, list(occurrences(texts, chosen)))
+
+
+def _descended(chosen: np.ndarray, toxic: np.ndarray, found: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
+    sizes = [len(c) for _, _, c in found]
+    none = [np.zeros(0, np.int64)]
+    sentence, column = np.concatenate([*none, *(s for _, s, _ in found)]), np.concatenate([*none, *(c for _, _, c in found)])
+    return descend(chosen, toxic, np.array([n for n, _, _ in found], np.int64), np.repeat(np.arange(len(found)), sizes), sentence, column)
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = presence(batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool))
+        yield pa.RecordBatch.from_arrays([pa.array(got[0].view(np.int64)), *(pa.array(k.astype(np.int64)) for k in got[1:])], ["feature", "k1", "k0"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, most_rows: int = MOST_ROWS, most_features: int = MOST_FEATURES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from at most ``most_rows`` labelled documents of each class, drawn by hash of their ids.
 
-    Rows with a null id or label teach nothing; a null text counts as empty. Of contradictory labels of an id the
-    larger holds, and of repeated ids every text teaches. Without labels of both classes the score is constant.
+    Spark counts the features of their whole texts and chooses at most ``most_features`` by G test; the driver sees the
+    chosen ones and where they occur, never a text. Rows with a null id or label teach nothing; a null text counts as
+    empty. Of contradictory labels of an id the larger holds, of repeated ids the smallest text teaches. Without labels
+    of both classes the score is constant.
     """
     admitted = in_training(F.col("id")) if training is None else training
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("mark")).where("id is not null and mark is not null").where(admitted)
     marks = marks.groupBy("id").agg((F.max("mark") > 0).alias("mark"))
     drawn = [marks.where("mark" if k else "not mark").orderBy(F.xxhash64("id"), "id").limit(most_rows) for k in (1, 0)]
     # At most 2 x most_rows ids, so their broadcast is bounded.
-    chosen = F.broadcast(drawn[0].union(drawn[1]))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "text", "mark")
-    rows = rows.orderBy(F.xxhash64("id", "text"), "id").limit(4 * most_rows).collect()
-    return train([r["text"] for r in rows], np.array([r["mark"] for r in rows], bool))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(drawn[0].union(drawn[1])), "id")
+    with Workspace(docs.sparkSession) as work:
+        rows = work.cut(rows.groupBy("id").agg(F.min("text").alias("text"), F.first("mark").alias("mark")))
+        total = {r["mark"]: r["count"] for r in rows.groupBy("mark").count().collect()}
+        n1, n0 = max(1, total.get(True, 0)), max(1, total.get(False, 0))
+        counts = rows.select("text", "mark").mapInArrow(_counter, "feature long, k1 long, k0 long").groupBy("feature").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0"))
+        usable, gain = telling(F.col("k1"), F.col("k0"), n1, n0, F.log, lambda x, least: F.greatest(x, F.lit(least)))
+        best = counts.where(usable).select("feature", gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(most_features).collect()
+        chosen = np.sort(np.array([r["feature"] for r in best], np.int64).view(np.uint64))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = list(occurrences(batch.column(2).to_pylist(), chosen))
+                lists = [pa.array([list(x[k]) for x in found], pa.list_(pa.int64())) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.int64()), *lists], ["mark", "h", "n", "sentence", "place"])
+
+        got = rows.select("mark", F.xxhash64("id").alias("h"), "text").mapInArrow(run, "mark boolean, h long, n long, sentence array<long>, place array<long>").collect()
+    got.sort(key=lambda r: r["h"])
+    return _descended(chosen, np.array([r["mark"] for r in got], bool), [(r["n"], np.array(r["sentence"], np.int64), np.array(r["place"], np.int64)) for r in got])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1), predicted (score >= 0.7) and sentences: array<struct<start, end, score>> that offend.
 
     Every whole text is scored; null texts and texts without words have no sentence and score 0. One row per input row,
-    repeated ids included. Other columns are not looked at.
+    repeated ids included; an empty table gives no rows. Other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    frame = docs.select(id_col, F.col(text_col).alias("text__in"))
+    frame = docs.select(id_col, text_col)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
