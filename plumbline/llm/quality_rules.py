@@ -112,14 +112,15 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, most
     """Trees from at most ``most_rows`` labelled documents, drawn by hash of their ids; only statistics reach the driver.
 
     Rows with a null id or label teach nothing, a null text counts as empty, of contradictory labels of an id the
-    larger holds. Labels of one kind only give a constant score.
+    larger holds, and of repeated ids the smallest text teaches. Labels of one kind only, or no rows, give a constant score.
     """
     admitted = in_training(F.col("id")) if training is None else training
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("mark")).where("id is not null and mark is not null").where(admitted)
     drawn = marks.groupBy("id").agg(F.max("mark").alias("mark")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
     # At most most_rows ids, so their broadcast is bounded.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("text", (F.col("mark") == 1).cast("int").alias("mark"))
-    got = rows.mapInArrow(_inputs, "mark int, x array<float>").limit(2 * most_rows).collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(drawn), "id")
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.max("mark").alias("mark")).select("text", (F.col("mark") == 1).cast("int").alias("mark"))
+    got = rows.mapInArrow(_inputs, "mark int, x array<float>").collect()
     x = np.array([r["x"] for r in got], np.float32).reshape(len(got), len(docstats.NAMES))
     signs = np.array([-1 if name in FALLING else 0 for name in docstats.NAMES])
     # Rows come in any order; sums of floating point should not depend on it.
@@ -132,7 +133,7 @@ def judged(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
 
     Words are runs without white space; whole texts are counted. base_failed: fewer than 50 words, or more than half of
     them inside repeated 3-word windows. kept: not base_failed and the trees' probability is at least 0.5. A null or
-    empty text has no words and fails. Other columns are not looked at.
+    empty text has no words and fails. An empty table gives no rows. Other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     frame = docs.select(id_col, text_col)
