@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import docstats
-from plumbline.llm.common import chunks, cut, in_training
+from plumbline.llm.common import Workspace, chunks, in_training
 
 _BENT = [docstats.NAMES.index(x) for x in ("symbols", "upper", "digits", "bangs", "punctuation", "dup_lines", "repeat_words", "distinct", "doubled")]
 _SHORT = (2.0, 3.5)
 #: Inputs count as at most FAR deviations from their mean; one that hardly varies counts as varying by LEAST_SCALE.
 FAR, LEAST_SCALE = 5.0, 0.02
+#: Cells of the histogram of scores that the class prior is read from, and the share of positives above a threshold.
+RANKS, LEAST_TAIL = 400, 0.75
 
 
 def inputs(texts: list[str | None]) -> np.ndarray:
@@ -77,20 +79,32 @@ def _summed(data: DataFrame, part) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "v"])
 
-    rows = data.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    # Decimals add up to the same sum in whatever order tasks end.
+    rows = data.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,12)")).alias("v")).collect()
     out = np.zeros(len(rows))
     for r in rows:
-        out[r["i"]] = r["v"]
+        out[r["i"]] = float(r["v"])
     return out
 
 
+def class_prior(tail_u: np.ndarray, tail_p: np.ndarray, least: float = LEAST_TAIL) -> float:
+    """The class prior from shares of unlabelled and of positive rows with scores from each threshold up.
+
+    Where negatives are absent, the unlabelled share is prior x positive share, elsewhere it is larger; so the smallest
+    ratio over all thresholds that ``least`` of the positives reach is the estimate. No label of a negative enters.
+    """
+    use = tail_p >= least
+    return float(np.clip((tail_u[use] / tail_p[use]).min(initial=1.0), 0.01, 0.99))
+
+
 def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, prior: float | None = None, steps: int = 12, decay: float = 1e-3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model of ``label_col`` = 1 from the rows of ``docs`` that ``training`` (by default the fold rule) admits.
 
-    Positives are the rows labelled 1; all admitted rows are unlabelled text, negatives included. ``prior`` is the
-    class prior; by default it is estimated as the share of 1 among the admitted labels, one of each kind added.
-    Null texts count as empty, null labels and null ids as unlabelled. Contradictory labels of a row: positive if any
-    is 1. Without positives or rows, the model's score is the prior everywhere. Other columns are not looked at.
+    Positives are the rows labelled 1; all admitted rows are unlabelled text, negatives included. ``prior`` is the class
+    prior; by default a first model with the prior 1/2 ranks all rows, and ``class_prior`` compares how positives and
+    unlabelled rows rank. Null texts count as empty, null labels and null ids as unlabelled. Contradictory labels of a
+    row: positive if any is 1. Without positives or rows, the model's score is the prior (1/2 if none is given)
+    everywhere. Other columns are not looked at.
     """
     admitted = in_training(F.col("id")) if training is None else training
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("mark")).where("id is not null and mark is not null")
@@ -99,19 +113,32 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, prio
     # Texts are never shuffled: the join with the labels moves their statistics only.
     kind = rows.schema["id"].dataType.simpleString()
     stats = rows.select("text", "id").mapInArrow(_featurize, f"id {kind}, x array<float>")
-    data = cut(stats.join(marks, "id", "left").select((F.coalesce("mark", F.lit(0)) == 1).alias("positive"), "x"))
-    if prior is None:
-        ones, all_ = marks.where(admitted).agg(F.coalesce(F.sum((F.col("mark") == 1).cast("int")), F.lit(0)), F.count("*")).first()
-        prior = (ones + 1) / (all_ + 2)
-
-    spread = _summed(data, lambda p, x: np.concatenate([[len(p), p.sum()], x.sum(0), (x * x).sum(0)]))
-    width = inputs([None]).shape[1]
-    flat = Model(np.zeros(width), np.ones(width), np.append(np.zeros(width), np.log(prior / (1 - prior))))
-    if not len(spread) or spread[1] == 0:
-        return flat
-    n_u, n_p = spread[:2]
-    center = spread[2 : 2 + width] / n_u
-    scale = np.maximum(np.sqrt(np.maximum(spread[2 + width :] / n_u - center**2, 0)), LEAST_SCALE)
+    with Workspace(docs.sparkSession) as work:
+        data = work.cut(stats.join(marks, "id", "left").select((F.coalesce("mark", F.lit(0)) == 1).alias("positive"), "x"))
+        spread = _summed(data, lambda p, x: np.concatenate([[len(p), p.sum()], x.sum(0), (x * x).sum(0)]))
+        width = inputs([None]).shape[1]
+        start = prior or 0.5
+        if not len(spread) or spread[1] == 0:
+            return Model(np.zeros(width), np.ones(width), np.append(np.zeros(width), np.log(start / (1 - start))))
+        n_u, n_p = spread[:2]
+        center = spread[2 : 2 + width] / n_u
+        scale = np.maximum(np.sqrt(np.maximum(spread[2 + width :] / n_u - center**2, 0)), LEAST_SCALE)
+        weights = _descend(data, n_u, n_p, center, scale, np.append(np.zeros(width), np.log(start / (1 - start))), start, steps, decay)
+        if prior is None:
+            def ranks(p, x):
+                x = np.clip((x - center) / scale, -FAR, FAR)
+                at = np.clip(((x @ weights[:-1] + weights[-1]) / 10 + 1) / 2 * RANKS, 0, RANKS - 1).astype(np.int64)
+                return np.concatenate([np.bincount(at, minlength=RANKS), np.bincount(at[p], minlength=RANKS)]).astype(float)
+
+            counts = _summed(data, ranks)
+            tail = lambda c: np.cumsum(c[::-1])[::-1] / c.sum()
+            weights = _descend(data, n_u, n_p, center, scale, weights, class_prior(tail(counts[:RANKS]), tail(counts[RANKS:])), steps, decay)
+    return Model(center, scale, weights)
+
+
+def _descend(data: DataFrame, n_u: float, n_p: float, center: np.ndarray, scale: np.ndarray, weights: np.ndarray, prior: float, steps: int, decay: float) -> np.ndarray:
+    """Damped Newton steps on the non-negative risk from ``weights``, one pass over ``data`` each; the best weights met."""
+    d = len(weights)
 
     def part(weights):
         def run(p, x):
@@ -123,7 +150,6 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, prio
 
         return run
 
-    weights, d = flat.weights.copy(), width + 1
     best, lowest, step, share = weights, np.inf, np.zeros(d), 1.0
     for _ in range(steps):
         got = _summed(data, part(weights))
@@ -143,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, prio
         if share * np.abs(step).max() < 1e-3:
             break
         weights = best - share * step
-    return Model(center, scale, best)
+    return best
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, least: float | None = None) -> DataFrame:
@@ -154,7 +180,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in keep or docs.columns if least is not None or c not in ("score", "predicted")]
-    frame = docs.select(F.col(text_col).alias("text__in"), *names)
+    # Columns go by place inside, so no name can clash.
+    frame = docs.select(F.col(text_col), *names).toDF(*(f"c{i}" for i in range(len(names) + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +192,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str
             else:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    schema = frame.select(names).schema
+    schema = docs.select(names).schema
     if least is None:
         schema = T.StructType([*schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return frame.mapInArrow(run, schema)

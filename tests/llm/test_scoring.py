@@ -203,3 +203,22 @@ def test_quality_rules(spark, tables):
         assert r["base_failed"] == (stats[0] < 50 or 100 * stats[4] > 50 * stats[0]) and not (r["kept"] and r["base_failed"])
     checked = [(r["kept"], want[r["doc_id"]]) for r in rows if r["doc_id"] in want and not r["base_failed"]]
     assert sum(k == bool(y) for k, y in checked) >= 0.95 * len(checked)
+
+
+def test_class_prior_needs_no_negatives():
+    """Scores of known classes: the estimate is near the share of positives, whichever of them carry labels."""
+    rng = np.random.default_rng(5)
+    for share in (0.3, 0.6, 0.9):
+        n = int(20000 * share)
+        good, bad = rng.normal(2, 1, n), rng.normal(-2, 1, 20000 - n)
+        cells = np.linspace(-6, 6, quality_pu.RANKS)
+        tail = lambda x: np.array([(x >= c).mean() for c in cells])
+        assert abs(quality_pu.class_prior(tail(np.concatenate([good, bad])), tail(good[:900])) - share) < 0.05
+
+
+def test_quality_columns_may_clash(spark, tables):
+    docs, labels = tables
+    model = quality_pu.fit(docs, labels, prior=0.8)
+    odd = docs.withColumnsRenamed({"lang": "text__in", "score": "c1"}).withColumn("predicted", docs["doc_id"])
+    assert quality_pu.scored(odd, model, least=0.5).schema == odd.schema
+    assert quality_pu.scored(odd, model).columns == ["doc_id", "text", "text__in", "c1", "score", "predicted"]
