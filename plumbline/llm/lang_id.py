@@ -27,7 +27,7 @@ from plumbline.llm.common import chunks, in_training
 LANE = 256
 #: Labelled rows of each language that training draws at most, and the characters that their texts may have together.
 #: Rows are used whole, the shortest first, and one at least.
-SAMPLE_ROWS, SAMPLE_CHARS = 160, 160_000
+SAMPLE_ROWS, SAMPLE_CHARS = 120, 120_000
 UNKNOWN = "und"
 _TRIES = 16
 _LETTER = re.compile(r"[^\W\d_]")
@@ -98,59 +98,67 @@ def packed(moves: list[dict[int, int]], n_codes: int) -> tuple[np.ndarray, np.nd
 
 @dataclass(frozen=True)
 class Parser:
-    """The packed automaton of one language; ``root`` holds the moves of state 0 by every code, 0 where there is none."""
+    """The packed automaton of one language; ``root`` holds the moves of state 0 by every code, 0 where there is none.
+
+    ``cells`` holds owner << 32 | to of every cell, so that one look tells both.
+    """
 
     base: np.ndarray
-    owner: np.ndarray
-    to: np.ndarray
+    cells: np.ndarray
     root: np.ndarray
 
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         """2 * next state + whether a phrase begins. At the root no phrase is under way, so whatever comes begins one;
         a character of no sample is one by itself."""
-        at = self.base[state] + code
-        on = self.owner[at] == state
-        return np.where(on, self.to[at], self.root[code]).astype(np.int64) * 2 + (~on | (state == 0))
-
-    def begins(self, codes: np.ndarray, first: np.ndarray, width: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Whether a phrase begins, for every code. Lanes are first : first + width; ``after`` tells the lanes that go on
-        where the lane before them ends."""
-        trace = np.zeros(len(codes), np.int64)
-        self._run(codes, trace, first, width, np.zeros(len(first), np.int64), False)
-        todo = np.flatnonzero(after)
-        entered = np.zeros(len(first), np.int64)
+        cell = self.cells[self.base[state] + code]
+        off = (cell >> 32) != state
+        to = cell.astype(np.int32)
+        np.copyto(to, self.root[code], where=off)
+        to <<= 1
+        off |= state == 0
+        to |= off
+        return to
+
+    def begins(self, codes: np.ndarray, width: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """How many phrases begin in each lane. Lanes are columns of ``codes``, widest first; ``before`` is the lane that
+        each one goes on from, or -1."""
+        trace = np.zeros(codes.shape, np.int32)
+        alive = np.searchsorted(-width, -np.arange(len(codes)), "left")
+        state = np.zeros(codes.shape[1], np.int32)
+        for j, n in enumerate(alive):
+            if not n:
+                break
+            trace[j, :n] = self.step(state[:n], codes[j, :n])
+            np.right_shift(trace[j, :n], 1, out=state[:n])
+        after = np.full(len(before) + 1, -1)
+        after[before] = np.arange(len(before))
+        after[-1] = -1
+        todo, entered = np.flatnonzero(before >= 0), np.zeros(len(before), np.int32)
         while len(todo):
-            state = trace[first[todo] - 1] >> 1
-            todo, state = todo[state != entered[todo]], state[state != entered[todo]]
-            entered[todo] = state
-            open_ = todo[self._run(codes, trace, first[todo], width[todo], state, True)] + 1
-            open_ = open_[open_ < len(first)]
-            todo = open_[after[open_]]
-        return trace & 1
-
-    def _run(self, codes: np.ndarray, trace: np.ndarray, first: np.ndarray, width: np.ndarray, state: np.ndarray, again: bool) -> np.ndarray:
-        """Parse lanes from ``state`` into ``trace``; with ``again`` only until they meet what is there. The lanes (their
-        places) that did not meet it before they ended."""
-        alive = np.argsort(-width, kind="stable")
-        ended: list[np.ndarray] = []
-        j = 0
-        while len(alive):
-            short = np.searchsorted(-width[alive], -j, "left")  # widths fall, so lanes that are over come last
-            ended.append(alive[short:])
-            alive = alive[:short]
-            if not len(alive):
+            enter = trace[width[before[todo]] - 1, before[todo]] >> 1
+            todo, enter = todo[enter != entered[todo]], enter[enter != entered[todo]]
+            entered[todo] = enter
+            open_ = after[self._again(codes, trace, width, todo, enter)]
+            todo = open_[open_ >= 0]
+        counted = (trace & 1).astype(np.int16).cumsum(0, dtype=np.int16)
+        return counted[width - 1, np.arange(len(width))].astype(np.int64)
+
+    def _again(self, codes: np.ndarray, trace: np.ndarray, width: np.ndarray, lane: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Parse lanes from other states until they meet what is there; the lanes that did not before they ended."""
+        ended = [lane[:0]]
+        for j in range(len(codes)):
+            over = width[lane] <= j
+            if over.any():
+                ended.append(lane[over])
+                lane, state = lane[~over], state[~over]
+            if not len(lane):
                 break
-            at = first[alive] + j
-            got = self.step(state[alive], codes[at])
-            state[alive] = got >> 1
-            if again:
-                met = (trace[at] >> 1) == (got >> 1)
-                trace[at] = got
-                alive = alive[~met]
-            else:
-                trace[at] = got
-            j += 1
-        return np.concatenate([*ended, np.zeros(0, np.int64)]).astype(np.int64)
+            got = self.step(state, codes[j, lane])
+            state = got >> 1
+            apart = (trace[j, lane] >> 1) != state
+            trace[j, lane] = got
+            lane, state = lane[apart], state[apart]
+        return np.concatenate([*ended, lane])
 
 
 @dataclass(frozen=True)
@@ -166,17 +174,23 @@ class Model:
         for a, b in chunks(texts):
             raw = [t or "" for t in texts[a:b]]
             points = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), np.uint32)
-            codes = self.classes[points].astype(np.int64)
+            codes = np.append(self.classes[points], np.int32(0))
             sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+            if not len(points):
+                continue
             begin = np.cumsum(sizes) - sizes
             lanes = -(-sizes // LANE)
             of = np.repeat(np.arange(len(raw)), lanes)
             nth = np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
             first = begin[of] + LANE * nth
             width = np.minimum(LANE, begin[of] + sizes[of] - first)
-            text_of = np.repeat(np.arange(len(raw)), sizes)
+            order = np.argsort(-width, kind="stable")
+            place = np.empty(len(of), np.int64)
+            place[order] = np.arange(len(of))
+            before = np.where(nth[order] > 0, place[order - 1], -1)
+            grid = codes[np.minimum(first[order][None, :] + np.arange(LANE)[:, None], len(points))]
             for k, parser in enumerate(self.parsers):
-                count = np.bincount(text_of, parser.begins(codes, first, width, nth > 0), len(raw))
+                count = np.bincount(of[order], parser.begins(grid, width[order], before), len(raw))
                 out[a:b, k] = count * self.bits[k] / np.maximum(sizes, 1)
         return out
 
@@ -211,7 +225,8 @@ def train(samples: dict[str, str]) -> Model:
         moves = suffix_automaton([place[c] for c in text])
         root = np.zeros(len(chars) + 1, np.int32)
         root[list(moves[0])] = list(moves[0].values())
-        parsers.append(Parser(*packed(moves, len(chars) + 1), root))
+        base, owner, to = packed(moves, len(chars) + 1)
+        parsers.append(Parser(base, owner.astype(np.int64) << 32 | to, root))
         bits.append(np.log2(max(2, len(text))))
     return Model(languages, classes, tuple(parsers), np.array(bits))
 
