@@ -85,35 +85,80 @@ def mean_ratio(text: Column, ratios: list[float]) -> Column:
     return F.aggregate(F.transform(steps, lambda s: F.get(table, s)), F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(steps), F.lit(1))
 
 
-def _located(text: Column, pattern: str, kind: int, size_group: int = 0) -> Column:
-    """All leftmost non-overlapping matches: the text between them is what split() leaves, so lengths give places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(size_group)) if size_group else found
-    between = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"), sized.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    step = lambda acc, z: F.struct(
-        (acc["at"] + F.length(z["gap"]) + F.length(z["hit"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(z["gap"])).alias("start"), (acc["at"] + F.length(z["gap"]) + F.length(z["hit"])).alias("end"), F.lit(kind).alias("kind"), F.length(z["part"]).alias("size"), z["hit"].alias("text")))).cast(_SPAN).alias("out"),
-    )
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: lambdas would work out a plain expression for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, plus, levels: int = 3, width: int = 64) -> Column:
+    """Running totals under ``plus`` (0 is neutral) of a non-empty array. Parts of ``width`` are totalled by themselves and
+    then raised by what stands before them, found the same way a level up, so the cost grows with the length only."""
+    fold = lambda part: F.aggregate(part, F.lit(0), plus)
+    run = lambda part: F.transform(part, lambda _, i: fold(F.slice(part, F.lit(1), i + 1)))
+    if not levels:
+        return _let(values, run)
+
+    def raised(parts: Column) -> Column:
+        before = _let(_running(F.transform(parts, fold), plus, levels - 1, width), lambda t: F.concat(F.array(F.lit(0)), F.slice(t, F.lit(1), F.size(t) - 1)))
+        return F.flatten(F.zip_with(F.transform(parts, run), before, lambda part, low: F.transform(part, lambda x: plus(low, x))))
+
+    split = lambda v: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / width).cast("int") - 1), lambda k: F.slice(v, k * width + 1, F.lit(width)))
+    return _let(values, lambda v: _let(split(v), raised))
+
+
+def _located(df: DataFrame, text: str, pattern: str, kind: int, into: str, group: int = 0) -> DataFrame:
+    """``df`` with ``into``: all leftmost non-overlapping matches of ``pattern`` in the column ``text``.
+
+    The text between them is what split() leaves, so lengths give places. Steps are columns of their own, so each is
+    worked out once. ``size`` is the length of ``group`` in the match.
+    """
+    hits, gaps, ends = (f"{into}__{x}" for x in ("hits", "gaps", "ends"))
+    none = F.array().cast("array<string>")
+    df = df.withColumn(hits, F.when(F.col(text).rlike(pattern), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(none))
+    some = F.size(hits) > 0
+    df = df.withColumn(gaps, F.when(some, F.split(F.col(text), pattern, -1)).otherwise(none))
+    lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), F.col(hits), lambda g, h: F.length(g) + F.length(h))
+    df = df.withColumn(ends, F.when(some, lengths))
+    df = df.withColumn(ends, F.when(some, _running(F.col(ends), lambda a, b: a + b)))
+    size = (lambda h: F.length(F.regexp_extract(h, pattern, group))) if group else F.length
+    struct = lambda end, h: F.struct((end - F.length(h)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), size(h).alias("size"), h.alias("text"))
+    return df.withColumn(into, F.when(some, F.zip_with(F.col(ends), F.col(hits), struct)).otherwise(F.array().cast(_SPAN)).cast(_SPAN)).drop(ends)
+
+
+def _blanked(df: DataFrame, text: str, into: str, least: int) -> DataFrame:
+    """``text`` with the matches that ``_located`` put into ``into``, those of ``least`` size, overwritten by blanks."""
+    hits, gaps = f"{into}__hits", f"{into}__gaps"
+    hide = F.zip_with(F.col(gaps), F.zip_with(F.col(hits), F.col(into), lambda h, s: F.when(s["size"] >= least, F.repeat(F.lit(" "), F.length(h))).otherwise(h)), lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
+    return df.withColumn(text, F.when(F.size(hits) > 0, F.array_join(hide, "")).otherwise(F.col(text))).drop(hits, gaps)
 
 
 def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", min_ratio: float = MIN_RATIO, into: str = "spans") -> DataFrame:
     """``docs`` with one more column ``into``: array<struct<start, end, kind, size, text>>, sorted by start and kind.
 
-    Places are code points, end exclusive; kind is an index of KINDS. The base kinds come from the patterns; a
-    candidate that overlaps none of them and whose mean ratio is above ``min_ratio`` is of kind markov. Null and empty
-    texts have no spans; every whole text is scanned. Other columns stay; an earlier column ``into`` is replaced.
+    Places are code points, end exclusive; kind is an index of KINDS. The base kinds come from the patterns. The base
+    spans are then blanked and what is left is searched for candidates, so a token that holds one still has its rest
+    judged; a candidate whose mean ratio is above ``min_ratio`` is of kind markov. Null and empty texts have no spans;
+    every whole text is scanned, in time that grows with its length. Repeated rows and null ids are rows like others, an
+    empty table gives no rows. Other columns stay, whatever their names; an earlier column ``into`` is replaced.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    assign = F.filter(_located(text, ASSIGN, 0, 2), lambda s: s["size"] >= ASSIGN_CHARS)
-    base = F.array_sort(F.concat(assign, _located(text, ACCESS, 1), _located(text, HEX, 2)))
-    temp = [f"{into}__base", f"{into}__more"]
-    found = docs.withColumn(temp[0], base).withColumn(temp[1], _located(text, CANDIDATE, 3))
-    clear = lambda c: ~F.exists(temp[0], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    more = F.when(F.size(temp[1]) > 0, F.filter(temp[1], lambda c: (mean_ratio(c["text"], ratios) > min_ratio) & clear(c))).otherwise(F.array().cast(_SPAN))
-    return found.withColumn(into, F.when(F.size(temp[1]) > 0, F.array_sort(F.concat(F.col(temp[0]), more))).otherwise(F.col(temp[0]))).drop(*temp)
+    own = "s"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    text, rest = f"{own}text", f"{own}rest"
+    kinds = [f"{own}{k}" for k in KINDS]
+    found = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(rest, F.col(text))
+    for k, (name, pattern, group, least) in enumerate(zip(kinds, (ASSIGN, ACCESS, HEX), (2, 0, 0), (ASSIGN_CHARS, 0, 0))):
+        found = _located(found, text, pattern, k, name, group)
+        if k:  # what earlier kinds have blanked is not given back: their matches are sought in the rest once more
+            found = found.drop(f"{name}__hits", f"{name}__gaps")
+            found = _located(found, rest, pattern, k, f"{name}r")
+            found = _blanked(found, rest, f"{name}r", 0).drop(f"{name}r")
+        else:
+            found = _blanked(found, rest, name, least)
+    found = found.withColumn(kinds[0], F.filter(kinds[0], lambda s: s["size"] >= ASSIGN_CHARS))
+    found = _located(found, rest, CANDIDATE, 3, kinds[3]).drop(f"{kinds[3]}__hits", f"{kinds[3]}__gaps")
+    found = found.withColumn(kinds[3], F.when(F.size(kinds[3]) > 0, F.filter(kinds[3], lambda c: mean_ratio(c["text"], ratios) > min_ratio)).otherwise(F.col(kinds[3])))
+    return found.withColumn(into, F.array_sort(F.concat(*kinds))).drop(text, rest, *kinds)
 
 
 def told(spans: Column) -> Column:
@@ -137,12 +182,16 @@ def redact(docs: DataFrame, ratios: list[float], text_col: str = "text", mark: s
 
     Texts without secrets, and nulls, stay as they are.
     """
-    spans = "secrets__spans"
+    spans = "spans"
+    while spans in docs.columns:
+        spans += "_"
     found = scan(docs, ratios, text_col, into=spans)
     text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.when(
-        s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-    ).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")))
-    new = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, new).otherwise(text)).drop(spans)
+    # A piece of text goes before every span that begins beyond all earlier ones; one join writes them all.
+    reach = f"{spans}reach"
+    found = found.withColumn(reach, F.when(F.size(spans) > 0, _running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))))
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(reach, i - 1))
+    piece = lambda s, i: F.when((i > 0) & (s["start"] < before(i)), F.lit("")).otherwise(F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), F.lit(mark)))
+    last = F.substring(text, F.get(reach, F.size(spans) - 1) + 1, F.length(text))
+    new = F.concat(F.array_join(F.transform(spans, piece), ""), last)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, new).otherwise(text)).drop(spans, reach)

@@ -71,3 +71,26 @@ def test_redaction(spark, ratios):
 def test_training_degenerates_to_zeros(spark):
     table = secrets.train(spark.createDataFrame([(None, 1), ("a", 0), ("ab", None)], "text string, label int"))
     assert set(table) == {0.0} and len(table) == (len(string.ascii_letters + string.digits) + 6) ** 2
+
+
+def test_many_matches_in_one_text(spark, ratios):
+    """Thousands of matches, empty tables, null ids, repeated rows and clashing columns; the places stay exact."""
+    long = " ".join(f"{i:024x} é" + (f" token={i}abcdef" if i % 7 == 0 else "") + (f" AKIA{i:016d}" if i % 11 == 0 else "") for i in range(9000))
+    docs = spark.createDataFrame([(None, long, 1), (None, long, 1), (2, "", 2)], "doc_id long, text string, s int")
+    rows = secrets.digest(docs, ratios).collect()
+    want = base(long)
+    assert [r["base_sha256"] for r in rows if r["doc_id"] is None] == [hashlib.sha256(",".join(want).encode()).hexdigest()] * 2
+    out = secrets.scan(docs.withColumnsRenamed({"s": "s__base"}), ratios)
+    assert out.columns == ["doc_id", "text", "s__base", "spans"] and out.count() == 3
+    assert secrets.digest(docs.limit(0), ratios).count() == 0
+    clean = {r["text"] for r in secrets.redact(docs, ratios).collect()}
+    left = re.sub(r"(<secret>)+", "", max(clean, key=len))
+    assert clean >= {""} and not re.search("[0-9a-f]{24}|AKIA|token", left) and left.count("é") == 9000
+
+
+def test_rest_of_a_token_beside_a_base_span(spark, ratios):
+    """A base span inside a longer token leaves the token's rest to the models."""
+    rest = "zQ7RzLkXvPbTJmWcYhGqN"
+    docs = spark.createDataFrame([(1, f"{'0123456789abcdef' * 2}{rest}9")], "doc_id long, text string")
+    row = secrets.digest(docs, ratios).first()
+    assert row["n_hex"] == 1 and row["spans"].startswith("hex:0:32") and "markov" in row["spans"]
