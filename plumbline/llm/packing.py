@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import Workspace, cut
 
 SIZE, END_ID = 2048, 1
-#: Groups among which the pieces of one length are dealt to be ranked.
-SALTS = 64
+#: Rows, about, of the groups in which the pieces of one length are ranked.
+RANKED_ROWS = 100_000
 
 
 class Encoder:
@@ -121,7 +121,14 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[in
                 add(-room - length, (length, lengths), used)
                 left -= used
             else:
-                add(size - length, (length, None), left)
+                # A new pack has most room, so it takes pieces of this length until the next one does not fit.
+                each = size // length
+                for n, packs in ((each, left // each), (left % each, 1)):
+                    if n and packs:
+                        lengths = None
+                        for _ in range(n):
+                            lengths = (length, lengths)
+                        add(size - n * length, lengths, packs)
                 left = 0
     out = []
     for lengths, packs in groups:
@@ -155,33 +162,49 @@ def _slots(made: list[tuple[tuple[int, ...], int]], size: int) -> tuple[np.ndarr
     return first, sequence, offset, np.cumsum(totals) - totals
 
 
-def pack(parts: DataFrame, size: int = SIZE, salts: int = SALTS, id_col: str = "doc_id") -> DataFrame:
-    """``parts`` (with id, start, length) with sequence_id and offset: pieces of a sequence lie gapless from offset 0.
+def pack(parts: DataFrame, size: int = SIZE, rows: int = RANKED_ROWS) -> DataFrame:
+    """``parts`` (with a column length) with sequence_id and offset: pieces of a sequence lie gapless from offset 0.
 
-    Any order of rows, ids and copies will do: pieces of one length are ranked inside groups dealt by hash, and
-    a group's ranks begin behind those of the groups before it, so no length is gathered in one task.
+    Every row gets a number when the pieces are written, and any order of rows, ids and copies will do. A full piece is
+    a sequence by itself and needs no rank, only its number. The others of one length are ranked inside groups of about
+    ``rows`` rows dealt by hash of the number, as many as their count asks for, and a group's ranks begin behind those
+    of the groups before it, so no length is gathered in one task and no rows are dealt unevenly.
     """
     parts = parts.drop("sequence_id", "offset")
-    salted = parts.withColumn("salt__", F.pmod(F.xxhash64(id_col, "start"), F.lit(salts)))
-    counts = cut(salted.groupBy("length", "salt__").agg(F.count("*").alias("n__")))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n__").alias("n")).collect()}
-    slots = parts.sparkSession.sparkContext.broadcast(_slots(patterns(histogram, size), size))
-    before = counts.select("length", "salt__", (F.sum("n__").over(Window.partitionBy("length").orderBy("salt__")) - F.col("n__")).alias("before__"))
-    ranked = salted.withColumn("nth__", F.row_number().over(Window.partitionBy("length", "salt__").orderBy(id_col, "start", "ids_crc32")))
-    ranked = ranked.join(before, ["length", "salt__"]).withColumn("rank__", F.col("before__") + F.col("nth__") - 1)
-    frame = ranked.select("length", "rank__", *parts.columns) if "length" not in parts.columns else ranked.select("rank__", *parts.columns)
     names = parts.columns
-    at = frame.columns.index("length")
+    # Columns go by place inside, so no name can clash.
+    inner = [f"c{i}" for i in range(len(names))]
+    length = inner[names.index("length")]
+    with Workspace(parts.sparkSession) as work:
+        numbered = cut(parts.toDF(*inner).withColumn("row", F.monotonically_increasing_id()))
+        histogram = {r["n"]: r["count"] for r in numbered.groupBy(F.col(length).alias("n")).count().collect()}
+        made = patterns({n: k for n, k in histogram.items() if n < size}, size)
+        slots = parts.sparkSession.sparkContext.broadcast(_slots(made, size))
+        whole = numbered.where(F.col(length) == size)
+        rest = numbered.where(F.col(length) < size)
+        groups = {n: -(-k // rows) for n, k in histogram.items() if n < size}
+        deal = F.lit(0)
+        if groups:
+            deal = F.pmod(F.xxhash64("row"), F.element_at(F.create_map(*[F.lit(x) for n, k in sorted(groups.items()) for x in (n, k)]), F.col(length)))
+        salted = rest.withColumn("salt", deal.cast("long"))
+        counts = work.cut(salted.groupBy(F.col(length).alias("n"), "salt").agg(F.count("*").alias("k")))
+        before = cut(counts.select("n", "salt", (F.sum("k").over(Window.partitionBy("n").orderBy("salt")) - F.col("k")).alias("before")))
+    ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy(length, "salt").orderBy("row")))
+    ranked = ranked.join(before, (ranked[length] == before["n"]) & (ranked["salt"] == before["salt"])).select((F.col("before") + F.col("nth") - 1).alias("rank"), *inner)
+    at = inner.index(length) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, sequence, offset, begin = slots.value
         for batch in batches:
             rank = batch.column(0).to_numpy() + begin[batch.column(at).to_numpy()]
             run_ = np.searchsorted(first, rank, "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sequence[run_] + rank - first[run_]), pa.array(offset[run_])], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sequence[run_] + rank - first[run_]), pa.array(offset[run_])], [*inner, "sequence_id", "offset"])
 
-    schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return frame.mapInArrow(run, schema)
+    kinds = [T.StructField(c, f.dataType) for c, f in zip(inner, parts.schema.fields, strict=True)]
+    placed = ranked.mapInArrow(run, T.StructType([*kinds, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    # Behind the sequences of several pieces.
+    alone = whole.select(*inner, (F.col("row") + sum(n for _, n in made)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.union(alone).toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, encoder=public_encoder, size: int = SIZE, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,4 +213,4 @@ def pack_documents(docs: DataFrame, encoder=public_encoder, size: int = SIZE, wi
     Null texts count as empty; empty texts, repeated rows and null ids are packed like others; an empty table gives no
     rows; other columns are not looked at.
     """
-    return pack(cut(pieces(docs, encoder, size, with_ids, id_col, text_col)), size, id_col=id_col)
+    return pack(pieces(docs, encoder, size, with_ids, id_col, text_col), size)

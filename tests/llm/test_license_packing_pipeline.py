@@ -70,6 +70,44 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def brute_pack(lengths, size):
+    """Shortest-pack-first, one piece after the other: the longest first, each into the pack with most room."""
+    packs = []
+    for x in sorted(lengths, reverse=True):
+        best = max(range(len(packs)), key=lambda i: size - sum(packs[i]), default=None)
+        if best is not None and size - sum(packs[best]) >= x:
+            packs[best].append(x)
+        else:
+            packs.append([x])
+    return packs
+
+
+def test_patterns_equal_brute_force_on_single_pieces():
+    import random
+
+    rng = random.Random(8)
+    for size in (16, 64):
+        lengths = [rng.randrange(1, size + 1) for _ in range(300)]
+        made = [sorted(p) for p, n in packing.patterns(Counter(lengths), size) for _ in range(n)]
+        assert sorted(map(sum, made)) == sorted(map(sum, brute_pack(lengths, size)))
+
+
+def test_packs_of_ranked_groups(spark):
+    """Few rows a group, equal rows, clashing names: every sequence is gapless and as the patterns say."""
+    rows = [(1, i * 0, n, "x") for i, n in enumerate([64, 64, 64, *[7] * 200, *[30] * 50, *[33] * 20, 1])]
+    frame = spark.createDataFrame(rows, "row long, salt long, length long, sequence_id string").repartition(3)
+    got = packing.pack(frame, 64, rows=9).collect()
+    assert len(got) == len(rows)
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == list(np.cumsum([0] + [n for _, n in parts])[:-1]) and sum(n for _, n in parts) <= 64
+    want = brute_pack([r[2] for r in rows], 64)
+    assert sorted(sum(n for _, n in p) for p in sequences.values()) == sorted(map(sum, want))
+
+
 def test_patterns_use_every_length_once():
     histogram = {2048: 5, 2047: 3, 1500: 7, 1024: 9, 600: 20, 548: 3, 7: 100, 1: 11}
     made = packing.patterns(histogram)
