@@ -107,7 +107,7 @@ def scan_texts(texts: list[str | None], automaton: Automaton, base=BASE) -> list
     """For each text: n_words, places [(word, label)] of base phrases, matches [(word, words, label)] of templates."""
     out: list[dict] = []
     wanted = {int(combine([np.array([_hash(a)]), np.array([_hash(b)])])[0]): (a, b) for a, b in automaton.starts}
-    phrases = [([_hash(w) for w in phrase.split()], label) for phrase, label in base]
+    phrases = [([(_hash(w), w) for w in phrase.split()], label) for phrase, label in base]
     for a, b in chunks(texts):
         found = words(texts[a:b])
         hashes, counts = found.hashes(), found.counts
@@ -117,9 +117,9 @@ def scan_texts(texts: list[str | None], automaton: Automaton, base=BASE) -> list
             n = len(hashes) - len(phrase) + 1
             if n > 0:
                 hit = found.doc[:n] == found.doc[len(phrase) - 1 :]
-                for j, h in enumerate(phrase):
+                for j, (h, _) in enumerate(phrase):
                     hit &= hashes[j : j + n] == h
-                for i in np.flatnonzero(hit):
+                for i in (i for i in np.flatnonzero(hit) if all(found.text(i + j) == w for j, (_, w) in enumerate(phrase))):
                     rows[found.doc[i]]["places"].append((int(i - begin[found.doc[i]]), label))
         if len(hashes) > 1:
             pairs = combine([hashes[:-1], hashes[1:]])
@@ -137,7 +137,8 @@ def licenses(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_
     n_base counts the places of base phrases, first_word and last_word are the smallest and largest of them (else
     null); labels are those of the base phrases and of all matching templates, distinct, sorted and comma-joined. score
     is 1 if a template matches, 0.5 if only base phrases stand in the text, else 0. matches holds struct<word, words,
-    label>, words counted from 0. Null and empty texts have no words. Other columns are not looked at.
+    label>, words counted from 0. Null and empty texts have no words; repeated rows and null ids are rows like others; an
+    empty table gives no rows. Other columns are not looked at.
     """
     frame = docs.select(id_col, text_col)
     automaton = Automaton(templates)
