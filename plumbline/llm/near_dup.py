@@ -26,6 +26,8 @@ from plumbline.llm.common import Workspace, chunks, counted, cut
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: 30 bands of 5 coordinates: a pair at the threshold shares no band with probability 7e-6.
 BANDS, ROWS = 30, 5
+#: Holders up to which a shingle counts as rare, so that its holders may be paired.
+RARE = 8
 #: Ratio of the lengths that one class of lengths holds.
 STEP = 1.1
 _GAP = re.compile(rb"[^0-9a-z\x80-\xff]+")
@@ -200,9 +202,9 @@ def near_duplicates(
     at least ``threshold``". Rows of the same words count as one vertex, so a group of copies is never paired up.
     In every bucket the vertex that shares most bands with others is the center; the most frequent center of each
     vertex is verified and components are formed. What is left are members outside their bucket's main component.
-    The shingles that no other open vertex has, or just one, bound the similarity that such a member can reach: it
-    meets those with whom it shares a shingle that nobody else has, and, only if the rest would do, the members of its
-    buckets whose lengths allow it. Pairs whose ends are already connected need no comparison; every other pair that
+    The shingles that no other open vertex has bound the similarity that such a member can reach, and rare ones that
+    which it can reach with those that share none of them: it meets the holders of its rare shingles and, only if the
+    rest would do, the members of its buckets whose lengths allow it. Pairs whose ends are already connected need no comparison; every other pair that
     shares a band is compared or excluded by its bound.
 
     Buckets are counted and led by aggregates that combine on the map side, and joined by plain equi-joins that adaptive
@@ -237,34 +239,35 @@ def _classes(source: DataFrame, work: Workspace, threshold: float, size: int, ba
     named = members.join(first.withColumnRenamed("vertex", "v"), "v", "left").select("v", F.coalesce("component", "v").alias("component"), F.explode("bands").alias("band"))
     mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
     opened = work.cut(named.join(mixed, "band", "left_semi").groupBy("v", "component").agg(F.collect_list("band").alias("bands")))
-    inside = elements.join(opened.select("v"), "v", "left_semi").select("v", F.explode("elements").alias("e"))
-    few = inside.groupBy("e").agg(F.count("*").alias("k"), F.min("v").alias("a"), F.max("v").alias("b")).where("k <= 2")
-    # (a, b): shingles that only these two open vertices hold; (a, a): those that a alone holds.
-    few = work.cut(few.groupBy("a", "b").agg(F.count("*").alias("m")))
-    own = F.when(F.col("a") == F.col("b"), F.col("m")).otherwise(0)
-    held = few.select(F.col("a").alias("v"), own.alias("own"), "m").union(few.where("a <> b").select("b", F.lit(0).cast("long"), "m"))
-    held = held.groupBy("v").agg(F.sum("own").alias("own"), F.sum("m").alias("rare"))
+    held = elements.join(opened.select("v"), "v", "left_semi").select("v", F.explode("elements").alias("e"))
+    holders = held.groupBy("e").agg(F.count("*").alias("k")).where(F.col("k") <= RARE)
+    rare = work.cut(held.join(holders, "e"))
+    few = rare.groupBy("v").agg(F.count(F.when(F.col("k") == 1, 1)).alias("own"), F.count("*").alias("rare"))
     # cap: the most elements that a vertex can share with another open one; rcap: with one that shares no rare element.
     zero = F.lit(0)
-    facts = opened.join(elements.select("v", "n"), "v").join(held, "v", "left")
+    facts = opened.join(elements.select("v", "n"), "v").join(few, "v", "left")
     facts = work.cut(facts.select("v", "component", "bands", "n", (F.col("n") - F.coalesce("own", zero)).alias("cap"), (F.col("n") - F.coalesce("rare", zero)).alias("rcap")))
 
     low = threshold - 1e-9
-    pair = few.where("a <> b").select("a", "b")
-    of = lambda end: facts.select(F.col("v").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("component", "n", "cap")))
-    reached = F.least("cap_a", "cap_b", "n_a", "n_b")
-    near = pair.join(of("a"), "a").join(of("b"), "b").where((F.col("component_a") != F.col("component_b")) & (reached >= low * (F.col("n_a") + F.col("n_b") - reached))).select("a", "b")
-
-    # Members outside the largest component of a bucket meet the others whose lengths lie where the threshold is in reach.
-    open_ = facts.select("v", "component", "n", "rcap", F.explode("bands").alias("band"))
+    # Members outside the largest component of a bucket, and the lengths of partners with whom the threshold is in reach.
+    open_ = facts.select("v", "component", "n", "cap", "rcap", F.explode("bands").alias("band"))
     home = open_.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "component")).alias("home"))
+    shortest, longest = F.col("n") * low, lambda most: F.least(F.col("n") / low, F.col(most) * (1 + low) / low - F.col("n"))
+    outside = open_.join(home, "band").where((F.col("component") != F.col("home.component")) & (longest("cap") >= shortest))
+    outside = work.cut(outside.select("band", "v", "component", "n", "cap", "rcap"))
+    # First the partners that share a rare element, at most RARE for each element; then, for those that could reach the
+    # threshold without one, the members of their buckets.
+    several = rare.where("k > 1").select("e", "v")
+    renamed = lambda df: df.withColumnsRenamed({"v": "a", "component": "c", "n": "m", "cap": "most"})
+    enough = lambda ours: F.least(ours, "most") >= low * (F.col("n") + F.col("m") - F.least(ours, "most"))
+    lone = renamed(outside.select("v", "component", "n", "cap").distinct())
+    near = lone.join(several.withColumnRenamed("v", "a"), "a").join(several, "e").select("a", "c", "m", "most", "v").distinct()
+    near = near.join(facts.select("v", "component", "n", "cap"), "v").where((F.col("c") != F.col("component")) & enough("cap")).select("a", "v")
     step = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / math.log(STEP) + 1e-9).cast("int")
-    shortest, longest = F.col("n") * low, F.least(F.col("n") / low, F.col("rcap") * (1 + low) / low - F.col("n"))
-    outside = open_.join(home, "band").where((F.col("component") != F.col("home.component")) & (longest >= shortest))
-    outside = outside.select("band", F.col("v").alias("a"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("rcap").alias("most"), F.explode(F.sequence(step(F.floor(shortest)), step(F.ceil(longest)))).alias("step"))
-    reached = F.least("rcap", "most")
-    far = outside.join(open_.withColumn("step", step(F.col("n"))), ["band", "step"]).where((F.col("c") != F.col("component")) & (reached >= low * (F.col("n") + F.col("m") - reached)))
-    crossing = near.union(far.select("a", F.col("v").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    wide = outside.where(longest("rcap") >= shortest).withColumn("step", F.explode(F.sequence(step(F.floor(shortest)), step(F.ceil(longest("rcap"))))))
+    wide = wide.select("band", "step", F.col("v").alias("a"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("rcap").alias("most"))
+    far = wide.join(open_.withColumn("step", step(F.col("n"))), ["band", "step"]).where((F.col("c") != F.col("component")) & enough("rcap")).select("a", "v")
+    crossing = near.union(far).select(F.greatest("a", "v").alias("a"), F.least("a", "v").alias("b")).distinct()
     second = work.cut(_verified(crossing.join(tried, ["a", "b"], "left_anti"), elements, threshold))
     name = lambda c, to: first.select(F.col("vertex").alias(c), F.col("component").alias(to))
     joined = second.join(name("a", "ca"), "a", "left").join(name("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
