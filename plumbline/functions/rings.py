@@ -65,6 +65,41 @@ def contains_strictly(ring: Column, x: Column, y: Column) -> Column:
     return ~F.exists(edges, on) & (F.size(F.filter(edges, crossed)) % 2 == 1)
 
 
+def centroid(ring: Column) -> Column:
+    """struct<x, y>: the center of a ring's area; null without an area."""
+    term = lambda v: F.aggregate(F.zip_with(ring, _next(ring), lambda p, q: (p[v] + q[v]) * (p["x"] * q["y"] - q["x"] * p["y"])), F.lit(0.0), lambda a, t: a + t)
+    return F.when(area2(ring) != 0, F.struct((term("x") / (3 * area2(ring))).alias("x"), (term("y") / (3 * area2(ring))).alias("y")))
+
+
+def edge_distance(ring: Column, x: Column, y: Column) -> Column:
+    """Distance of a point from the nearest edge of a ring."""
+
+    def away(p: Column, q: Column) -> Column:
+        ux, uy = q["x"] - p["x"], q["y"] - p["y"]
+        t = ((x - p["x"]) * ux + (y - p["y"]) * uy) / F.greatest(ux * ux + uy * uy, F.lit(1e-300))
+        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+        return F.hypot(x - p["x"] - t * ux, y - p["y"] - t * uy)
+
+    return F.array_min(F.zip_with(ring, _next(ring), away))
+
+
+def is_valid(ring: Column) -> Column:
+    """Whether a ring has an area and no two of its edges meet but neighbours at their common vertex."""
+    edges = F.transform(F.arrays_zip(ring.alias("p"), _next(ring).alias("q")), lambda e, i: F.struct(e["p"].alias("p"), e["q"].alias("q"), i.alias("i")))
+    turn = lambda a, b, c: F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+    within = lambda a, b, c: c["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & c["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+    on = lambda a, b, c: (turn(a, b, c) == 0) & within(a, b, c)
+
+    def meet(e: Column, f: Column) -> Column:
+        across = (turn(e["p"], e["q"], f["p"]) * turn(e["p"], e["q"], f["q"]) < 0) & (turn(f["p"], f["q"], e["p"]) * turn(f["p"], f["q"], e["q"]) < 0)
+        return across | on(e["p"], e["q"], f["p"]) | on(e["p"], e["q"], f["q"]) | on(f["p"], f["q"], e["p"]) | on(f["p"], f["q"], e["q"])
+
+    apart = lambda e, f: (f["i"] > e["i"] + 1) & ~((e["i"] == 0) & (f["i"] == F.size(ring) - 1))
+    back = lambda e, f: (f["i"] == (e["i"] + 1) % F.size(ring)) & on(e["p"], e["q"], f["q"])
+    crossed = F.exists(edges, lambda e: F.exists(edges, lambda f: (apart(e, f) & meet(e, f)) | back(e, f)))
+    return (F.size(ring) >= 3) & (area2(ring) != 0) & ~crossed
+
+
 def position_list(ring: Column, z: Column) -> Column:
     """``x y z`` of every vertex and, at the end, of the first one again."""
     closed = F.concat(ring, F.slice(ring, 1, 1))

@@ -186,3 +186,23 @@ def weighted_bce(logit: str, truth: str, positive: float = 1.0, negative: float
     loss = F.greatest(z, F.lit(0.0)) - z * t + F.log1p(F.exp(-F.abs(z)))
     mean = lambda c: F.coalesce(F.sum(F.when(c, loss)), F.lit(0.0)) / (F.count(F.when(c, 1)) + 1e-5)
     return mean(t != 0) * positive + mean(t == 0) * negative
+
+
+def smooth_l1(predicted: Column, truth: Column, beta: float = 1.0) -> Column:
+    """Squared below ``beta``, linear beyond."""
+    d = F.abs(predicted - truth)
+    return F.when(d < beta, 0.5 * d * d / beta).otherwise(d - 0.5 * beta)
+
+
+def crop_window(x0: Column, y0: Column, x1: Column, y1: Column, affine: tuple[float, ...], height: int, width: int) -> Column:
+    """struct<row, col, height, width, c, f> of the part of a raster that holds a rectangle; c and f are the new origin.
+
+    The affine is x' = a col + b row + c, y' = d col + e row + f; the window is cut to the raster and null outside it.
+    """
+    inverse = affine_inverse(*affine)
+    corners = [geo_to_pixel(x, y, inverse, "float") for x in (x0, x1) for y in (y0, y1)]
+    low = lambda k, most: F.greatest(F.lit(0), F.least(F.lit(most), F.floor(F.least(*[p[k] for p in corners])))).cast("int")
+    high = lambda k, most: F.greatest(F.lit(0), F.least(F.lit(most), F.ceil(F.greatest(*[p[k] for p in corners])))).cast("int")
+    row, col, last_row, last_col = low(0, height), low(1, width), high(0, height), high(1, width)
+    left, top = pixel_to_geo(col, row, affine)
+    return F.when((last_row > row) & (last_col > col), F.struct(row.alias("row"), col.alias("col"), (last_row - row).alias("height"), (last_col - col).alias("width"), left.alias("c"), top.alias("f")))

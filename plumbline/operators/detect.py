@@ -34,6 +34,55 @@ def intersections(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
     return p.where(F.abs(det) > 1e-9).select(key, "a", "b", ((b2 * c1 - b1 * c2) / det).alias("x"), ((a1 * c2 - a2 * c1) / det).alias("y"))
 
 
+def normal_form(lines: DataFrame) -> DataFrame:
+    """``lines`` with distance (of the line from the origin) and theta (degrees of its direction, from 0 to 180)."""
+    c = F.col
+    dx, dy = c("x1") - c("x2"), c("y1") - c("y2")
+    theta = F.degrees(F.atan2(dx, dy))
+    out = lines.withColumn("distance", F.abs(dy * c("x1") - dx * c("y1")) / F.sqrt(dy * dy + dx * dx + 1e-10))
+    return out.withColumn("theta", F.when(theta < 0, theta + 180).otherwise(theta))
+
+
+def hough(lines: DataFrame, d_step: float = 1.0, t_step: float = 2.0) -> DataFrame:
+    """``lines`` with their cell (d, t) of the map of distances and directions."""
+    out = normal_form(lines)
+    return out.withColumn("d", F.floor(F.col("distance") / d_step).cast("int")).withColumn("t", F.floor(F.col("theta") / t_step).cast("int"))
+
+
+def hough_cells(binned: DataFrame, key: str, line: str = "line") -> DataFrame:
+    """(key, d, t): how many lines a cell holds, and the first of them."""
+    return binned.groupBy(key, "d", "t").agg(F.count("*").alias("n"), F.min(line).alias("first"))
+
+
+def merged_lines(lines: DataFrame, key: str, d_step: float = 1.0, t_step: float = 2.0, reach: int = 2, k: int = 200) -> DataFrame:
+    """(key, d, t, n, x1, y1, x2, y2): one line for each of the ``k`` fullest local maxima of the Hough map.
+
+    It spans the ends of all lines in the cells within ``reach`` of the maximum, falling or rising as the maximum's first
+    line does (falling from 90 degrees). Lines meet cells by equal cell numbers.
+    """
+    binned = cut(hough(lines, d_step, t_step))
+    found = local_maxima(hough_cells(binned, key).withColumnsRenamed({"d": "row", "t": "col", "n": "v"}), reach, (key,))
+    best = top_k(found, k, [F.desc("v"), F.col("row"), F.col("col")], (key,))
+    span = F.sequence(F.lit(-reach), F.lit(reach))
+    around = best.withColumn("i", F.explode(span)).withColumn("j", F.explode(span))
+    around = around.select(key, "row", "col", "v", "first", (F.col("row") + F.col("i")).alias("d"), (F.col("col") + F.col("j")).alias("t"))
+    low, high = (lambda v: F.min(F.least(f"{v}1", f"{v}2")).alias(f"{v}_low")), (lambda v: F.max(F.greatest(f"{v}1", f"{v}2")).alias(f"{v}_high"))
+    theta = F.max(F.when(F.col("line") == F.col("first"), F.col("theta"))).alias("theta")
+    out = around.join(binned, [key, "d", "t"]).groupBy(key, "row", "col", "v").agg(low("x"), high("x"), low("y"), high("y"), theta)
+    falls = F.col("theta") >= 90
+    ends = [F.when(falls, F.col("y_high")).otherwise(F.col("y_low")).alias("y1"), F.col("x_high").alias("x2"), F.when(falls, F.col("y_low")).otherwise(F.col("y_high")).alias("y2")]
+    return out.select(key, F.col("row").alias("d"), F.col("col").alias("t"), F.col("v").alias("n"), F.col("x_low").alias("x1"), *ends)
+
+
+def endpoint_distances(predicted: DataFrame, truth: DataFrame, key: str, line: str = "line") -> DataFrame:
+    """(key, pred, gt, d): squared distances of the ends of every predicted and true line of an image, by the better of
+    both orders of the ends. An image's lines come from a top list and are few."""
+    other = truth.select(key, F.col(line).alias("gt"), *[F.col(v).alias(f"t{v}") for v in ("x1", "y1", "x2", "y2")])
+    gap = lambda a, b: F.pow(F.col(f"x{a}") - F.col(f"tx{b}"), 2) + F.pow(F.col(f"y{a}") - F.col(f"ty{b}"), 2)
+    both = predicted.withColumnRenamed(line, "pred").join(other, key)
+    return both.select(key, "pred", "gt", F.least(gap(1, 1) + gap(2, 2), gap(1, 2) + gap(2, 1)).alias("d"))
+
+
 def squares(corners: DataFrame, key: str) -> DataFrame:
     """(key, l0, l1, l2, l3): cycles of four corners, each of which shares one line with the next.
 

@@ -185,17 +185,18 @@ def mean_shift_1d(values: np.ndarray, weights: np.ndarray, bandwidth: float, rou
 
 
 def snap_orthogonal(peaks: list[int], totals: np.ndarray, low: float = 85, high: float = 95, spans: tuple[int, ...] = (4, 6)) -> list[int]:
-    """Peaks in label order: of two nearly at right angles the weaker moves to the heaviest bin near the exact one."""
+    """Peaks in label order: of two nearly at right angles the weaker moves to the heaviest bin near the exact one, the first
+    of equals; of two equally heavy ones none moves."""
     peaks = list(peaks)
     for i in range(len(peaks)):
         for j in range(i + 1, len(peaks)):
             d = abs(peaks[i] - peaks[j]) % 180
-            if low <= min(d, 180 - d) <= high:
+            if low <= min(d, 180 - d) <= high and totals[peaks[i]] != totals[peaks[j]]:
                 weak, strong = (i, j) if totals[peaks[i]] < totals[peaks[j]] else (j, i)
                 target = (peaks[strong] - 90) % 180
                 for span in spans:
                     bins = [(target + k) % 180 for k in range(-span, span + 1)]
-                    best = max(bins, key=lambda b: (totals[b], -min(abs(b - target), 180 - abs(b - target))))
+                    best = max(bins, key=lambda b: totals[b])
                     if totals[best] > 0:
                         peaks[weak] = best
                         break
@@ -400,7 +401,7 @@ def alpha_area(points: np.ndarray, alpha: float) -> float:
     return alpha_areas(points, [alpha])[0]
 
 
-def prune_boxes(points_in: list[set[int]], coverage: list[float], lam: float = 1.0, a: float = 1.0, threshold: float = 0.0008, least: float = 0.5) -> list[int]:
+def prune_boxes(points_in: list[set[int]], coverage: list[float], lam: float = 1.0, a: float = 0.001, threshold: float = 0.0008, least: float = 0.5) -> list[int]:
     """Boxes kept: while leaving one out lowers lam * mean(1 / (n + a)) by more than the threshold, the first such goes."""
     kept = list(range(len(points_in)))
     cost = lambda ks: lam * float(np.mean([1 / (len(points_in[k]) + a) for k in ks])) if ks else float("nan")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import linear_index
 from plumbline.operators import kernels, spatial
+from plumbline.operators.cells import height_above_ground
 from plumbline.operators.graph import connected, cut
 
 
@@ -72,6 +73,13 @@ def filled(cells: DataFrame, shape: tuple[int, int]) -> DataFrame:
     return rows.groupBy("col").applyInPandas(down, "row int, col int, z double")
 
 
+def height_above_filled(upper: DataFrame, ground: DataFrame, threshold: float, shape: tuple[int, int], zero_is_nodata: bool = False) -> DataFrame:
+    """Cells of ``upper`` that stand at least ``threshold`` above the ground, whose gaps are first filled with the nearest valid
+    cell; with ``zero_is_nodata`` a z of 0 is a gap as well."""
+    valid = (lambda df: df.where("z <> 0")) if zero_is_nodata else (lambda df: df)
+    return height_above_ground(valid(upper), filled(valid(ground), shape), threshold)
+
+
 def components(cells: DataFrame, width: int, tile: int) -> DataFrame:
     """(row, col, component): 8-connected components over all tiles, named by their smallest row * width + col.
 

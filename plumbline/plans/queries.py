@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import rings, scalar
-from plumbline.operators import cells, detect, ordered, solids, spatial, tiles
+from plumbline.operators import cells, detect, heights, ordered, solids, spatial, tiles
+from plumbline.sources import files
 from plumbline.plans.fixtures import BOXES_SQL, DETECTIONS_SQL, LINES_SQL, POINTS_SQL, boxes, detections, last, lines, points, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -326,11 +327,28 @@ def m14_merge_near_angles(spark, d):
     return ordered.merge_near_angles(peaks, 25.0, ("building",)).select("building", "label", "angle", "total")
 
 
-@query(f"WITH {LINES_SQL} SELECT CAST(floor({_LINE} / 50) AS INT) AS d, CAST(floor({_ANGLE} / 10) AS INT) AS t, count(*) AS n, min(line) AS first FROM lines GROUP BY 1, 2")
+_HOUGH = f"{LINES_SQL}, n AS (SELECT *, abs((y1 - y2) * x1 - (x1 - x2) * y1) / sqrt((y1 - y2) * (y1 - y2) + (x1 - x2) * (x1 - x2) + 1e-10) AS dist, degrees(atan2(x1 - x2, y1 - y2)) AS deg FROM lines), h AS (SELECT *, CAST(floor(dist / 50) AS INT) AS d, CASE WHEN deg < 0 THEN deg + 180 ELSE deg END AS theta, CAST(floor(CASE WHEN deg < 0 THEN deg + 180 ELSE deg END / 10) AS INT) AS t FROM n)"
+
+
+@query(f"WITH {_HOUGH} SELECT building, d, t, count(*) AS n, min(line) AS first FROM h GROUP BY 1, 2, 3")
 def a30_hough(spark, d):
-    c = F.col
-    xs = (c("x1"), c("y1"), c("x2"), c("y2"))
-    return lines(spark, d).groupBy(F.floor(scalar.line_length(*xs) / 50).cast("int").alias("d"), F.floor(scalar.line_angle(*xs) / 10).cast("int").alias("t")).agg(F.count("*").alias("n"), F.min("line").alias("first"))
+    return detect.hough_cells(detect.hough(lines(spark, d), 50.0, 10.0), "building")
+
+
+@query(
+    f"WITH {_HOUGH}, acc AS (SELECT building, d, t, count(*) AS n, min(line) AS first FROM h GROUP BY 1, 2, 3), best AS (SELECT a.* FROM acc a WHERE NOT EXISTS (SELECT 1 FROM acc b WHERE b.building = a.building AND abs(b.d - a.d) <= 2 AND abs(b.t - a.t) <= 2 AND b.n > a.n)), "
+    "m AS (SELECT b.building, b.d, b.t, b.n, min(least(x1, x2)) AS xl, max(greatest(x1, x2)) AS xh, min(least(y1, y2)) AS yl, max(greatest(y1, y2)) AS yh, max(CASE WHEN line = first THEN theta END) AS theta FROM best b JOIN h ON h.building = b.building AND abs(h.d - b.d) <= 2 AND abs(h.t - b.t) <= 2 GROUP BY 1, 2, 3, 4) "
+    "SELECT building, d, t, n, round(xl, 6) AS x1, round(CASE WHEN theta >= 90 THEN yh ELSE yl END, 6) AS y1, round(xh, 6) AS x2, round(CASE WHEN theta >= 90 THEN yl ELSE yh END, 6) AS y2 FROM m"
+)
+def m24_merged_lines(spark, d):
+    return detect.merged_lines(lines(spark, d), "building", 50.0, 10.0).select("building", "d", "t", "n", r6("x1"), r6("y1"), r6("x2"), r6("y2"))
+
+
+@query(f"WITH {LINES_SQL}, p AS (SELECT a.building, a.line AS pred, b.line AS gt, least((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2 + (a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2, (a.x1 - b.x2) ** 2 + (a.y1 - b.y2) ** 2 + (a.x2 - b.x1) ** 2 + (a.y2 - b.y1) ** 2) AS d FROM lines a JOIN lines b ON a.building = b.building WHERE a.line % 2 = 0 AND b.line % 2 = 1) SELECT building, pred, arg_min(gt, d) AS gt, round(min(d), 4) AS d FROM p GROUP BY 1, 2")
+def j19_endpoint_distances(spark, d):
+    seg = lines(spark, d)
+    pairs = detect.endpoint_distances(seg.where("line % 2 = 0"), seg.where("line % 2 = 1"), "building")
+    return pairs.groupBy("building", "pred").agg(F.min_by("gt", "d").alias("gt"), F.round(F.min("d"), 4).alias("d"))
 
 
 # --- detection --------------------------------------------------------------------------------------------------------
@@ -440,9 +458,56 @@ def s18_citygml(spark, d):
     return solids.citygml(prisms(spark, d)).select("building", count("<bldg:GroundSurface>", "grounds"), count("<bldg:RoofSurface>", "roofs"), count("<bldg:WallSurface>", "walls"), count("xlink:href", "links"))
 
 
-@query("SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY 1")
-def s14_json(spark, d):
-    return table(spark, d, "events").select(F.from_json("props", "k int")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+_RING_JSON = "'[{\"x\":' || CAST(x0 AS VARCHAR) || ',\"y\":' || CAST(y0 AS VARCHAR) || '},{\"x\":' || CAST(x1 AS VARCHAR) || ',\"y\":' || CAST(y0 AS VARCHAR) || '},{\"x\":' || CAST(x1 AS VARCHAR) || ',\"y\":' || CAST(y1 AS VARCHAR) || '},{\"x\":' || CAST(x0 AS VARCHAR) || ',\"y\":' || CAST(y1 AS VARCHAR) || '}]'"
+
+
+def ringed(spark, d):
+    c = F.col
+    ring = rings.make_ring((c("x0"), c("y0")), (c("x1"), c("y0")), (c("x1"), c("y1")), (c("x0"), c("y1")))
+    return boxes(spark, d).withColumn("building", F.floor(c("x0") / 30).cast("long")).withColumn("ring", ring)
+
+
+@query(f"WITH {BOXES_SQL} SELECT CAST(floor(x0 / 30) AS BIGINT) AS building, '[' || string_agg({_RING_JSON}, ',' ORDER BY box) || ']' AS json, count(*) AS n FROM boxes GROUP BY 1")
+def s14_box_json(spark, d):
+    """Written, read back, and told with the number of rings that came back."""
+    texts = files.boxes_json(ringed(spark, d), "building")
+    back = files.parse_boxes(texts, "building").groupBy("building").agg(F.count("*").alias("n"))
+    return texts.join(back, "building").select("building", "json", "n")
+
+
+@query(f"WITH {BOXES_SQL} SELECT box, box % 3 = 0 AS valid FROM boxes")
+def f13_valid_rings(spark, d):
+    """Rectangles, some with two corners swapped, some folded onto a line."""
+    r = lambda i: F.get("ring", F.lit(i))
+    odd = F.when(F.col("box") % 3 == 0, F.col("ring")).when(F.col("box") % 3 == 1, F.array(r(0), r(2), r(1), r(3))).otherwise(F.array(r(0), r(1), r(0)))
+    return ringed(spark, d).select("box", rings.is_valid(odd).alias("valid"))
+
+
+@query(f"WITH {BOXES_SQL}, w AS (SELECT box, greatest(0, floor(x0 / 4)) AS c0, greatest(0, floor((720 - y1) / 7)) AS r0, least(30, ceil(x1 / 4)) AS c1, least(100, ceil((720 - y0) / 7)) AS r1 FROM boxes) SELECT box, CAST(r0 AS INT) AS row, CAST(c0 AS INT) AS col, CAST(r1 - r0 AS INT) AS height, CAST(c1 - c0 AS INT) AS width, c0 * 4.0 AS c, 720 - r0 * 7.0 AS f FROM w WHERE c1 > c0 AND r1 > r0")
+def s13_crop_windows(spark, d):
+    c = F.col
+    window = scalar.crop_window(c("x0"), c("y0"), c("x1"), c("y1"), (4.0, 0.0, 0.0, 0.0, -7.0, 720.0), 100, 30)
+    return boxes(spark, d).select("box", window.alias("w")).where("w is not null").select("box", "w.*")
+
+
+@query(f"WITH {POINTS_SQL}, {BOXES_SQL}, m AS (SELECT box, count(*) AS n, count(DISTINCT floor((x - x0) / 5) * 100 + floor((y - y0) / 24)) / 36.0 AS cov FROM points JOIN boxes ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY 1) SELECT box, n, n >= 3 AND cov >= 0.99 AS strict, n >= 3 AND cov >= 0.95 AS usual, n >= 3 AND cov >= 0.3 AS loose FROM m")
+def f14_keep_rule(spark, d):
+    met = spatial.points_in_boxes(points(spark, d), boxes(spark, d), 30.0, 144.0)
+    cell = F.floor((F.col("x") - F.col("x0")) / 5) * 100 + F.floor((F.col("y") - F.col("y0")) / 24)
+    m = met.groupBy("box").agg(F.count("*").alias("n"), (F.count_distinct(cell) / 36.0).alias("cov"))
+    return m.select("box", "n", *[heights.keep_rule(F.col("n"), F.col("cov"), threshold=t).alias(name) for name, t in (("strict", 0.99), ("usual", 0.95), ("loose", 0.3))])
+
+
+@query()
+def a15_box_heights(spark, d):
+    p = points(spark, d).withColumn("building", F.floor(F.col("x") / 30).cast("long"))
+    return heights.box_heights(ringed(spark, d), p).select("building", "box", r6("z"), "level")
+
+
+@query()
+def j01_agl_filled(spark, d):
+    upper_, ground_ = cells.rasterize(upper(spark, d), *pixel(), "max"), cells.rasterize(ground(spark, d), *pixel(), "min")
+    return tiles.height_above_filled(upper_, ground_, 10.0, extent(spark, d)).select("row", "col", "z", r6("agl"))
 
 
 @query("SELECT c_custkey, regexp_extract(c_name, '(\\d+)$', 1) AS digits, split_part(c_name, '#', 1) AS stem FROM customer")

@@ -93,3 +93,55 @@ def write_points_csv(points: DataFrame, path: str, building: str | None = None)
     out = points.select(*([building] if building else []), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("z").alias("Z"))
     writer = out.write.option("header", True)
     (writer.partitionBy(building) if building else writer).csv(path)
+
+
+_BOXES = "array<array<struct<x: double, y: double>>>"
+
+
+def boxes_json(boxes: DataFrame, key: str, order: str = "box", ring: str = "ring") -> DataFrame:
+    """(key, json): each group's rings as one JSON list of lists of {x, y}, in order."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ring).alias("r"))))
+    return boxes.groupBy(key).agg(F.to_json(F.transform(rows, lambda r: r["r"])).alias("json"))
+
+
+def parse_boxes(texts: DataFrame, key: str, json: str = "json") -> DataFrame:
+    """(key, box, ring): the rings of JSON texts, numbered from 0. An empty list, or a text that is none, gives no rows."""
+    return texts.select(key, F.posexplode(F.from_json(json, _BOXES)).alias("box", "ring"))
+
+
+def read_boxes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, box, ring) of the ``*.json`` files of a folder; files without boxes give no rows."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("json"))
+    return parse_boxes(files, "file")
+
+
+def quarantine(points: DataFrame, key: str, least: int = 30_000) -> tuple[DataFrame, DataFrame]:
+    """The points of groups with at least ``least`` points, and those of the others; nothing is moved or dropped."""
+    few = points.groupBy(key).agg(F.count("*").alias("n__")).where(F.col("n__") < least).select(F.col(key).alias("few__"))
+    return points.join(few, points[key].eqNullSafe(few["few__"]), "left_anti"), points.join(few, points[key].eqNullSafe(few["few__"]), "left_semi")
+
+
+def validated_parts(parts: DataFrame, rows: int = 3, columns: int = 3) -> DataFrame:
+    """``parts`` (part from 1 by rows, height, width) if all are there once, those of a row equally high and those of a column
+    equally wide; else ValueError. It looks at no more than a few rows."""
+    wanted = rows * columns
+    told = parts.select("part", "height", "width").limit(wanted + 1).collect()
+    numbers = sorted(r["part"] for r in told)
+    if numbers != list(range(1, wanted + 1)):
+        raise ValueError(f"parts 1 to {wanted} are needed once each, found {numbers}")
+    for name, of in (("height", lambda p: (p - 1) // columns), ("width", lambda p: (p - 1) % columns)):
+        sizes: dict[int, set[int]] = {}
+        for r in told:
+            sizes.setdefault(of(r["part"]), set()).add(r[name])
+        if any(len(s) > 1 for s in sizes.values()):
+            raise ValueError(f"parts beside each other differ in {name}")
+    return parts
+
+
+def write_clusters(cells: DataFrame, path: str) -> None:
+    """Cluster cells (row, col, cluster) as Parquet, so that later steps read one cluster without the others."""
+    cells.select("row", "col", "cluster").repartition("cluster").write.mode("overwrite").partitionBy("cluster").parquet(path)
+
+
+def read_clusters(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("row int, col int, cluster long").parquet(path)

@@ -81,6 +81,19 @@ def las_files(points: DataFrame, key: str) -> DataFrame:
     return points.groupBy(key).applyInPandas(run, f"{key} {points.schema[key].dataType.simpleString()}, n long, content binary")
 
 
+def npy_files(cells: DataFrame, key: str, height: int, width: int) -> DataFrame:
+    """(key, content): each group's cells (row, col, z) as a float32 array file, NaN where there is no cell."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.full((height, width), np.nan, np.float32)
+        grid[pdf["row"], pdf["col"]] = pdf["z"]
+        buffer = io.BytesIO()
+        np.save(buffer, grid)
+        return pd.DataFrame({key: pd.Series([pdf[key].iloc[0]], dtype=pdf[key].dtype), "content": [buffer.getvalue()]})
+
+    return cells.select(key, "row", "col", "z").groupBy(key).applyInPandas(run, f"{key} {cells.schema[key].dataType.simpleString()}, content binary")
+
+
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """(file, part, row, col, z) of the finite cells of 2-D arrays; part is the number in ``part_<n>`` or null."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
