@@ -23,7 +23,7 @@ from plumbline.llm.common import Workspace, cut
 
 SIZE, END_ID = 2048, 1
 #: Rows, about, of the groups in which the pieces of one length are ranked.
-RANKED_ROWS = 100_000
+RANKED_ROWS = 1000
 
 
 class Encoder:
