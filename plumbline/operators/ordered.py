@@ -2,9 +2,58 @@
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.graph import cut
+
+
+class Sequence:
+    """Rows in order within their keys, dealt by range into blocks, so no task holds more than a block of a group.
+
+    A running value is that of the block by itself plus what the blocks before it come to; those totals are one row per
+    key and block. ``order`` should be total: rows that tie in all of it come in any order.
+    """
+
+    def __init__(self, df: DataFrame, keys: tuple[str, ...], order: list[str | Column]):
+        by = [*map(F.col, keys), *(F.col(o) if isinstance(o, str) else o for o in order)]
+        self.keys, self.order = [*keys, "block__"], by[len(keys) :]
+        # Written once: the borders of the blocks are drawn from a sample and must be the same for all that follows.
+        self.rows = cut(df.repartitionByRange(*by).withColumn("block__", F.spark_partition_id()))
+        self.blocks = Window.partitionBy(*keys).orderBy("block__")
+
+    def of(self, rows: DataFrame, order: list[str | Column]) -> Sequence:
+        """Other rows that know their block already, in an order that agrees with the blocks'."""
+        out = copy.copy(self)
+        out.rows, out.order = rows, [F.col(o) if isinstance(o, str) else o for o in order]
+        return out
+
+    def window(self):
+        return Window.partitionBy(*self.keys).orderBy(*self.order)
+
+    def with_running(self, value: Column, into: str) -> DataFrame:
+        """The rows with the running sum of ``value``, the row's own included."""
+        earlier = F.sum("total__").over(self.blocks.rowsBetween(Window.unboundedPreceding, -1))
+        low = self.rows.groupBy(*self.keys).agg(F.sum(value).alias("total__")).select(*self.keys, F.coalesce(earlier, F.lit(0)).alias("before__"))
+        run = self.rows.withColumn(into, F.sum(value).over(self.window().rowsBetween(Window.unboundedPreceding, 0)))
+        return self._joined(run, low).withColumn(into, F.col(into) + F.col("before__")).drop("before__")
+
+    def with_last(self, value: str, into: str) -> DataFrame:
+        """The rows with the ``value`` of the row before, null for the first; ascending values only."""
+        low = self.rows.groupBy(*self.keys).agg(F.max(value).alias("most__")).select(*self.keys, F.lag("most__").over(self.blocks).alias("before__"))
+        return self._joined(self.rows.withColumn(into, F.lag(value).over(self.window())), low).withColumn(into, F.coalesce(into, "before__")).drop("before__")
+
+    def _joined(self, rows: DataFrame, low: DataFrame) -> DataFrame:
+        return rows.join(low.withColumnsRenamed({k: f"{k}_l" for k in self.keys}), [F.col(k).eqNullSafe(F.col(f"{k}_l")) for k in self.keys]).drop(*[f"{k}_l" for k in self.keys])
+
+
+def gaps(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, gap) between each distinct value and the next smaller one."""
+    line = Sequence(df.select(*keys, value).where(F.col(value).isNotNull()).distinct(), keys, [value])
+    return line.with_last(value, "last__").select(*keys, (F.col(value) - F.col("last__")).alias("gap")).where("gap is not null")
+
 
 def weighted_percentile(df: DataFrame, share: float, keys: tuple[str, ...], value: str = "z", weight: str = "w") -> DataFrame:
     """The first value, in order, at which the running weight reaches ``share`` of the total."""
@@ -27,29 +76,35 @@ def density_1d(df: DataFrame, eps: float, min_samples: int, keys: tuple[str, ...
 
     That is DBSCAN for two samples at least, where every member of a run is a core point.
     """
-    w = Window.partitionBy(*keys).orderBy(value, order)
-    gap = F.coalesce(F.col(value) - F.lag(value).over(w) > eps, F.lit(True))
-    runs = df.withColumn("g__", gap.cast("int")).withColumn("r__", F.sum("g__").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sized = runs.withColumn("n__", F.count("*").over(Window.partitionBy(*keys, "r__")))
-    first = ((F.col("g__") == 1) & (F.col("n__") >= min_samples)).cast("int")
-    rank = sized.withColumn("k__", F.sum(first).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rank.withColumn("label", F.when(F.col("n__") >= min_samples, F.col("k__") - 1).otherwise(-1).cast("int")).drop("g__", "r__", "n__", "k__")
+    line = Sequence(df, keys, [value, order])
+    gap = F.coalesce(F.col(value) - F.col("p__") > eps, F.lit(True))
+    line = line.of(cut(line.with_last(value, "p__").withColumn("g__", gap.cast("int")).drop("p__")), line.order)
+    line = line.of(cut(line.with_running(F.col("g__"), "r__")), line.order)
+    # Runs are counted by aggregates that combine first; each is numbered in the block where it begins.
+    runs = line.rows.groupBy(*keys, "r__").agg(F.count("*").alias("n__"), F.min("block__").alias("block__")).where(F.col("n__") >= min_samples)
+    kept = line.of(cut(runs), ["r__"])
+    named = kept.with_running(F.lit(1), "k__").select(*[F.col(k).alias(f"{k}_r") for k in keys], F.col("r__").alias("r__r"), "k__")
+    same = [F.col("r__") == F.col("r__r"), *[F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in keys]]
+    out = line.rows.join(named, same, "left").withColumn("label", F.coalesce(F.col("k__") - 1, F.lit(-1)).cast("int"))
+    return out.drop("g__", "r__", "block__", "k__", "r__r", *[f"{k}_r" for k in keys])
 
 
 def average_precision(detections: DataFrame, n_truth: DataFrame) -> DataFrame:
     """AP of (score, tp, id): precision envelope over recall steps, x 100. ``n_truth`` has one row with column n.
 
-    Scores are first merged into one row per (score, id) step; the running sums are over the whole list, as the
-    metric asks, so its length is the number of detections of the evaluated set.
+    Running counts and the envelope are worked out in blocks of the sorted list; only one row a block meets in one task.
+    A null ``tp`` is no hit; no detections give a null ap and n = 0.
     """
-    order = Window.orderBy(F.desc("score"), "id")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    d = detections.select("id", "score", F.col("tp").cast("double").alias("tp"), F.row_number().over(order).alias("rn"), F.sum(F.col("tp").cast("double")).over(run).alias("ctp"))
-    d = d.join(F.broadcast(n_truth.select(F.col("n").cast("double").alias("n")).limit(1)), F.lit(True))
-    d = d.withColumn("recall", F.col("ctp") / F.col("n")).withColumn("precision", F.col("ctp") / F.greatest(F.col("rn").cast("double"), F.lit(1e-9)))
-    back = Window.orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("envelope", F.max("precision").over(back)).withColumn("before", F.coalesce(F.lag("recall").over(Window.orderBy("rn")), F.lit(0.0)))
-    return d.agg((F.sum((F.col("recall") - F.col("before")) * F.col("envelope")) * 100).alias("ap"), F.count("*").alias("n"))
+    d = detections.select("id", "score", F.coalesce(F.col("tp").cast("double"), F.lit(0.0)).alias("tp"), F.lit(1).alias("one"))
+    line = Sequence(d, (), [F.desc("score"), "id"])
+    line = line.of(cut(line.with_running(F.col("one"), "rn")), line.order)
+    line = line.of(cut(line.with_running(F.col("tp"), "ctp").withColumn("precision", F.col("ctp") / F.col("rn").cast("double"))), line.order)
+    # The largest precision from a row on: in its own block, and in the blocks behind it.
+    after = Window.orderBy(F.desc("block__")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = line.rows.groupBy("block__").agg(F.max("precision").alias("most")).select("block__", F.max("most").over(after).alias("before__"))
+    here = F.max("precision").over(Window.partitionBy("block__").orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0))
+    d = line._joined(line.rows.withColumn("envelope", here), behind).join(F.broadcast(n_truth.select(F.col("n").cast("double").alias("n")).limit(1)), F.lit(True))
+    return d.agg((F.sum(F.col("tp") / F.col("n") * F.greatest("envelope", "before__")) * 100).alias("ap"), F.count("*").alias("n"))
 
 
 def greedy_match(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -99,8 +154,8 @@ def merge_near_angles(peaks: DataFrame, least: float = 25.0, keys: tuple[str, ..
 
 def every_nth(df: DataFrame, n: int, keys: tuple[str, ...], order: str = "id") -> DataFrame:
     """The first, (n + 1)-th, ... row of each group."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("r__", F.row_number().over(w)).where(F.col("r__") % n == (1 if n > 1 else 0)).drop("r__")
+    numbered = Sequence(df, keys, [order]).with_running(F.lit(1), "r__")
+    return numbered.where(F.col("r__") % n == (1 if n > 1 else 0)).drop("r__", "block__")
 
 
 def side_of(key: Column, seed: int) -> Column:

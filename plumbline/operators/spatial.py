@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.rings import contains_strictly
+from plumbline.operators.graph import cut
 
 
 def _bucket(v: Column, size: float) -> Column:
@@ -29,32 +30,32 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, bucket_x: float, bucket
     return p.join(b, ["bx", "by"]).where(inside).drop("bx", "by")
 
 
-def nearest_neighbours(points: DataFrame, radius: float, keys: tuple[str, ...] = (), rounds: int = 4) -> DataFrame:
+def nearest_neighbours(points: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, id, d): each point's distance to the nearest other point with the same keys; null if it has none.
 
-    Points meet those in the 3 x 3 buckets around theirs. A distance up to the bucket size is final; points without
-    one go on with a doubled bucket, and the last round meets all of their group.
+    Points meet those in the 3 x 3 buckets around theirs. A distance up to the bucket size is final; points without one go
+    on with buckets four times as large, until a bucket is as large as the extent. Two points that go on lie more than a
+    quarter of the next size apart, so a bucket holds at most 31 of them and every round's pairs grow with the points only.
+    Null, infinite and NaN places meet nothing.
     """
-    points = points.select(*keys, "id", "x", "y").persist()
-    pending, done, size = points, None, radius
-    for k in range(rounds):
-        last = k == rounds - 1
-        other = points.withColumnsRenamed({"id": "oid", "x": "ox", "y": "oy"})
-        if last:
-            met = pending.join(other, list(keys)) if keys else pending.join(other)
-        else:
-            around = F.sequence(F.lit(-1), F.lit(1))
-            left = pending.withColumn("i", F.explode(around)).withColumn("j", F.explode(around))
-            left = left.select(*keys, "id", "x", "y", (_bucket(F.col("x"), size) + F.col("i")).alias("bx"), (_bucket(F.col("y"), size) + F.col("j")).alias("by"))
-            met = left.join(other.withColumn("bx", _bucket(F.col("ox"), size)).withColumn("by", _bucket(F.col("oy"), size)), [*keys, "bx", "by"])
-        met = met.where("id <> oid").groupBy(*keys, "id").agg(F.min(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))).alias("d"))
-        final = (met if last else met.where(F.col("d") <= size)).persist()
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
+    points = points.select(*keys, "id", "x", "y")
+    placed = cut(points.where(finite("x") & finite("y")))
+    extent = placed.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
+    pending, done, size = placed, None, radius
+    while True:
+        last = size >= extent
+        other = placed.select(*keys, F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), _bucket(F.col("x"), size).alias("bx"), _bucket(F.col("y"), size).alias("by"))
+        around = F.sequence(F.lit(-1), F.lit(1))
+        left = pending.withColumn("i", F.explode(around)).withColumn("j", F.explode(around))
+        left = left.select(*keys, "id", "x", "y", (_bucket(F.col("x"), size) + F.col("i")).alias("bx"), (_bucket(F.col("y"), size) + F.col("j")).alias("by"))
+        met = left.join(other, [*keys, "bx", "by"]).where("id <> oid").groupBy(*keys, "id").agg(F.min(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))).alias("d"))
+        final = cut(met if last else met.where(F.col("d") <= size))
         done = final if done is None else done.unionByName(final)
-        pending = pending.join(final, [*keys, "id"], "left_anti").persist()
+        pending = cut(pending.join(final, [*keys, "id"], "left_anti"))
         if last or pending.isEmpty():
-            break
+            return points.select(*keys, "id").join(done, [*keys, "id"], "left")
         size *= 4
-    return points.select(*keys, "id").join(done, [*keys, "id"], "left")
 
 
 def spacing(neighbours: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import rings, scalar
@@ -526,7 +526,7 @@ def p23_stretch(spark, d):
 def a29_spacing(spark, d):
     p = points(spark, d)
     u = p.select(F.round("x", 3).alias("v")).union(p.select(F.round("y", 3))).distinct()
-    g = u.select((F.col("v") - F.lag("v").over(Window.orderBy("v"))).alias("gap")).where("gap > 1e-4")
+    g = ordered.gaps(u, "v").where("gap > 1e-4")
     return g.agg(F.round(F.percentile("gap", F.lit(0.5)), 6).alias("spacing"))
 
 
