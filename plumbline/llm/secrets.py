@@ -2,7 +2,7 @@
 
 Two first-order Markov chains over characters, one of random strings and one of ordinary identifiers, are counted
 from labelled samples with a GROUP BY. A candidate token is a secret if the mean log-likelihood ratio of its
-transitions is above a threshold. Expressions only; the table of ratios has a fixed size, classes x classes.
+transitions is above a threshold that falls with its length. Expressions only; the table of ratios has a fixed size, classes x classes.
 """
 
 from __future__ import annotations
@@ -19,27 +19,53 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_CHARS = 6
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Characters of candidates; any other is one further class. A candidate holds a digit and a letter.
+#: Characters of candidates; any other is one further class. A candidate holds a digit and a letter, or a capital behind
+#: a small letter: words of prose do neither, and the models know no prose.
 ALPHABET = LOWER + UPPER + "0123456789+/_=-"
-MIN_CHARS, MIN_RATIO = 20, 0.25
+MIN_CHARS, MIN_RATIO = 16, 0.75
+#: Length from which MIN_RATIO holds; shorter candidates need as much more as they are shorter.
+FULL_CHARS = 24
 _C = r"[A-Za-z0-9+/_=-]"
-CANDIDATE = rf"(?<!{_C})(?={_C}{{{MIN_CHARS}}})(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z]){_C}++"
+CANDIDATE = rf"(?<!{_C})(?={_C}{{{MIN_CHARS}}})(?:(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])|(?={_C}*?[a-z][A-Z])){_C}++"
 _SPAN = "array<struct<start:int,end:int,kind:int,size:int,text:string>>"
 
 
-def default_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """(text, label): n random strings (1) and n ordinary identifiers (0), drawn by hash of a row number."""
-    stems = "get set user name list item page count total index value data file path line text node tree parse build load save read write open close start stop next last first main test case view model table column row cell time date year month day hour error warning info debug trace event handler factory manager service client server request response header body length width height color image video".split()
+#: Words that ordinary identifiers of the default samples are made of.
+STEMS = (
+    "account action address allow amount append array attribute average background batch binary block body boolean bottom bounds branch browser buffer "
+    "build button byte cache camera cancel case category cell center change channel check child class click client clock close cluster code color column "
+    "command comment compare compile compute config connect context control convert copy count create current custom data database date day debug decode "
+    "default define delete depth describe device dictionary difference directory display distance document domain double download dynamic edge element "
+    "email empty encode engine environment equal error evaluate event exception exchange execute expand export expression external extract factory feature "
+    "field file filter final first flag float folder format forward frame frequency function get graph group handler hash header height hidden hour "
+    "identity image import index info initialize input insert integer internal item iterator join kernel key keyboard language last layer layout length "
+    "level library limit line link list load local lock logic main manager map mask match matrix maximum memory message method minimum model module month "
+    "name next node open page parse path read request response row save server service set start stop table test text time total trace tree user value "
+    "video view warning width write year"
+).split()
+
+
+def default_samples(spark: SparkSession, n: int = 8000) -> DataFrame:
+    """(text, label): n random strings (1) and n ordinary identifiers (0), drawn by hash of a row number.
+
+    Random ones are hexadecimal or base64 digits. Identifiers have three or four stems in snake, kebab, path or camel style,
+    some of them all in capitals, some with a number in the middle or at the end.
+    """
     draw = lambda salt, most: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(most)).cast("int")
     base64 = F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), F.col("id").cast("string")), 256)))
     hexes = F.sha2(F.concat(F.lit("h"), F.col("id").cast("string")), 256)
     rand = F.when(draw("r", 3) == 0, F.substring(hexes, 1, 40)).otherwise(F.substring(base64, 1, 40))
-    pick = lambda salt: F.element_at(F.array(*map(F.lit, stems)), draw(salt, len(stems)) + 1)
     sep = F.element_at(F.array(*map(F.lit, ("_", "-", "/", "", "=", "_"))), draw("s", 6) + 1)
-    number = F.when(draw("d", 2) == 0, F.lit("")).otherwise(F.concat(sep, draw("n", 3000).cast("string")))
-    styled = F.concat(*[F.when(draw("u", 3) == 0, F.initcap(pick(s))).otherwise(pick(s)) if i == 0 else F.concat(sep, F.when((draw("u", 3) == 0) | (sep == ""), F.initcap(pick(s))).otherwise(pick(s))) for i, s in enumerate("abcd")], number)
+    camel = (draw("u", 3) == 0) | (sep == "")
+    pick = lambda salt: F.element_at(F.array(*map(F.lit, STEMS)), draw(salt, len(STEMS)) + 1)
+    word = lambda salt: F.when(camel, F.initcap(pick(salt))).otherwise(pick(salt))
+    number = lambda salt, share, most: F.when(draw(salt, share) == 0, F.concat(F.when(draw(salt + "s", 2) == 0, sep).otherwise(F.lit("")), draw(salt + "n", most).cast("string"))).otherwise(F.lit(""))
+    first = F.when(draw("f", 2) == 0, word("a")).otherwise(pick("a"))
+    fourth = F.when(draw("w", 2) == 0, F.concat(sep, word("d"))).otherwise(F.lit(""))
+    styled = F.concat(first, number("x", 4, 130), sep, word("b"), number("y", 4, 130), sep, word("c"), fourth, number("z", 2, 3000))
     ids = spark.range(n)
-    return ids.select(rand.alias("text"), F.lit(1).alias("label")).union(ids.select(styled, F.lit(0)))
+    ordinary = F.when((draw("k", 4) == 0) & (sep != ""), F.upper(styled)).otherwise(styled)
+    return ids.select(rand.alias("text"), F.lit(1).alias("label")).union(ids.select(ordinary, F.lit(0)))
 
 
 def _class(char: Column) -> Column:
@@ -85,6 +111,11 @@ def mean_ratio(text: Column, ratios: list[float]) -> Column:
     return F.aggregate(F.transform(steps, lambda s: F.get(table, s)), F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(steps), F.lit(1))
 
 
+def least_ratio(size: Column, min_ratio: float = MIN_RATIO) -> Column:
+    """The mean ratio that a candidate of ``size`` characters must exceed."""
+    return F.lit(min_ratio) * F.greatest(F.lit(1.0), F.lit(float(FULL_CHARS)) / size)
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is worked out once: lambdas would work out a plain expression for every element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -137,7 +168,7 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", min_ratio
 
     Places are code points, end exclusive; kind is an index of KINDS. The base kinds come from the patterns. The base
     spans are then blanked and what is left is searched for candidates, so a token that holds one still has its rest
-    judged; a candidate whose mean ratio is above ``min_ratio`` is of kind markov. Null and empty texts have no spans;
+    judged; a candidate whose mean ratio is above ``min_ratio`` (more for short ones) is of kind markov. Null and empty texts have no spans;
     every whole text is scanned, in time that grows with its length. Repeated rows and null ids are rows like others, an
     empty table gives no rows. Other columns stay, whatever their names; an earlier column ``into`` is replaced.
     """
@@ -157,7 +188,7 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", min_ratio
             found = _blanked(found, rest, name, least)
     found = found.withColumn(kinds[0], F.filter(kinds[0], lambda s: s["size"] >= ASSIGN_CHARS))
     found = _located(found, rest, CANDIDATE, 3, kinds[3]).drop(f"{kinds[3]}__hits", f"{kinds[3]}__gaps")
-    found = found.withColumn(kinds[3], F.when(F.size(kinds[3]) > 0, F.filter(kinds[3], lambda c: mean_ratio(c["text"], ratios) > min_ratio)).otherwise(F.col(kinds[3])))
+    found = found.withColumn(kinds[3], F.when(F.size(kinds[3]) > 0, F.filter(kinds[3], lambda c: mean_ratio(c["text"], ratios) > least_ratio(c["size"], min_ratio))).otherwise(F.col(kinds[3])))
     return found.withColumn(into, F.array_sort(F.concat(*kinds))).drop(text, rest, *kinds)
 
 
