@@ -11,13 +11,20 @@ from plumbline.operators.ordered import local_maxima, top_k
 
 def decode_lines(heat: DataFrame, score: float = 0.10, length: float = 20.0, k: int = 200, scale: float = 2.0, keys: tuple[str, ...] = ("img",)) -> DataFrame:
     """Segments of a heat map (keys, row, col, v, dx0, dy0, dx1, dy1): the k best local maxima of the sigmoid whose
-    score and length are large enough, in image coordinates."""
+    score and length are large enough, in image coordinates; row and col are its cell."""
     s = heat.withColumn("v", 1 / (1 + F.exp(-F.col("v"))))
     best = top_k(local_maxima(s, 1, keys), k, [F.desc("v"), F.col("row"), F.col("col")], keys)
     at = lambda c, d: (F.col(c) + F.col(d)) * scale
     span = F.hypot(F.col("dx1") - F.col("dx0"), F.col("dy1") - F.col("dy0"))
     ends = [at("col", "dx0").alias("x1"), at("row", "dy0").alias("y1"), at("col", "dx1").alias("x2"), at("row", "dy1").alias("y2")]
-    return best.where((F.col("v") > score) & (span > length)).select(*keys, F.col("v").alias("score"), *ends)
+    return best.where((F.col("v") > score) & (span > length)).select(*keys, F.col("v").alias("score"), *ends, "row", "col")
+
+
+def training_lines(heat: DataFrame, score: float = 0.10, length: float = 2.0, k: int = 1000, keys: tuple[str, ...] = ("img",)) -> DataFrame:
+    """``decode_lines`` as training does it: at the scale of the map, more and shorter lines, and beside each line the same one
+    from its other end (sx1, sy1, sx2, sy2). row and col are the cell of its center."""
+    c = F.col
+    return decode_lines(heat, score, length, k, 1.0, keys).withColumns({"sx1": c("x2"), "sy1": c("y2"), "sx2": c("x1"), "sy2": c("y1")})
 
 
 def intersections(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
@@ -175,9 +182,15 @@ def corners(lines: DataFrame, key: str, outside: float = 0.1, inside: float = 0.
     ends = ("x1", "y1", "x2", "y2")
     for side in "ab":
         met = met.join(lines.select(key, F.col(line).alias(side), *[c(e).alias(f"{side}{e}") for e in ends]), [key, side])
+    along = lambda v, side: c(f"{side}{v}2") - c(f"{side}{v}1")
+    span = lambda side: F.sqrt(along("x", side) * along("x", side) + along("y", side) * along("y", side))
+    # 60 to 120 degrees whichever ends are seen. Filters on the measures below would be pushed into them and repeat them, so they are written first.
+    met = met.where(F.abs(along("x", "a") * along("x", "b") + along("y", "a") * along("y", "b")) < (0.5 + 1e-6) * span("a") * span("b"))
+    measures = {}
     for side in "ab":
-        length, near, far, degrees = _reach(side, c("x"), c("y"))
-        met = met.withColumns({f"l{side}": length, f"n{side}": near, f"f{side}": far, f"d{side}": degrees})
+        for n, v in zip("lnfd", _reach(side, c("x"), c("y"))):
+            measures[f"{n}{side}"] = v
+    met = cut(met.select(key, "a", "b", "x", "y", *[v.alias(n) for n, v in measures.items()]))
     turn = F.abs(c("da") - c("db"))
     turn = F.when(turn > 180, 360 - turn).otherwise(turn)
     fits = lambda s: ((c(f"f{s}") >= c(f"l{s}")) & (c(f"n{s}") <= c(f"l{s}") * outside)) | ((c(f"f{s}") <= c(f"l{s}")) & (c(f"n{s}") <= c(f"l{s}") * inside))
@@ -218,29 +231,32 @@ def scored_squares(corners: DataFrame, key: str, size: float = 512.0, weights: d
     last = part(3).withColumnRenamed(key, "key__")
     s = s.join(last, (c(key) == c("key__")) & (c("q2") == c("p3")) & (c("q3") == c("p0"))).drop("key__")
     s = s.where(F.size(F.array_distinct(F.array("q0", "q1", "q2", "q3"))) == 4)
-    cover, perimeter, sides = F.lit(0.0), F.lit(0.0), []
+    # In steps, so that generated code stays small: first the sides, then what is made of them.
+    steps: dict[str, Column] = {}
     for i in range(4):  # the side from corner i to the next lies on line q_i
         j = (i + 1) % 4
         own = [(c(f"oq{i}"), c(f"nq{i}")), (c(f"op{j}"), c(f"np{j}"))]
-        covered = c(f"lq{i}") + sum((F.when(out, 0.0).otherwise(-near) for out, near in own), F.lit(0.0))
-        side = c(f"lq{i}") + sum((F.when(out, near).otherwise(-near) for out, near in own), F.lit(0.0))
-        cover, perimeter = cover + covered, perimeter + side
-        sides.append(side)
+        steps[f"cover{i}"] = c(f"lq{i}") + sum((F.when(out, 0.0).otherwise(-near) for out, near in own), F.lit(0.0))
+        steps[f"side{i}"] = c(f"lq{i}") + sum((F.when(out, near).otherwise(-near) for out, near in own), F.lit(0.0))
+        steps[f"vx{i}"], steps[f"vy{i}"] = c(f"x{j}") - c(f"x{i}"), c(f"y{j}") - c(f"y{i}")
+    s = s.withColumns(steps)
+    s = s.withColumns({f"v{i}": F.sqrt(c(f"vx{i}") * c(f"vx{i}") + c(f"vy{i}") * c(f"vy{i}")) for i in range(4)})
 
     def angle(i: int) -> Column:
-        h, j = (i - 1) % 4, (i + 1) % 4
-        ux, uy, vx, vy = c(f"x{h}") - c(f"x{i}"), c(f"y{h}") - c(f"y{i}"), c(f"x{j}") - c(f"x{i}"), c(f"y{j}") - c(f"y{i}")
-        cos = (ux * vx + uy * vy) / (F.sqrt(ux * ux + uy * uy) * F.sqrt(vx * vx + vy * vy) + 1e-10)
+        h = (i - 1) % 4
+        cos = -(c(f"vx{h}") * c(f"vx{i}") + c(f"vy{h}") * c(f"vy{i}")) / (c(f"v{h}") * c(f"v{i}") + 1e-10)
         return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
 
-    alike = lambda a, b: F.least(a, b) / F.greatest(a, b)
+    s = s.withColumns({f"angle{i}": angle(i) for i in range(4)})
+    alike = lambda v, i: F.least(c(f"{v}{i}"), c(f"{v}{i + 2}")) / F.greatest(c(f"{v}{i}"), c(f"{v}{i + 2}"))
+    total = lambda v: sum((c(f"{v}{i}") for i in range(4)), F.lit(0.0))
     area = sum((c(f"x{i}") * c(f"y{(i + 1) % 4}") - c(f"y{i}") * c(f"x{(i + 1) % 4}") for i in range(4)), F.lit(0.0))
-    mx, my = (sum((c(f"{v}{i}") for i in range(4)), F.lit(0.0)) / 4 for v in "xy")
     half = size / 2
+    off = lambda v: total(v) / 4 - 128
     s = s.select(
         key, c("q0").alias("l01"), c("q1").alias("l12"), c("q2").alias("l23"), c("q3").alias("l30"), F.array(*[f"x{i}" for i in range(4)]).alias("xs"), F.array(*[f"y{i}" for i in range(4)]).alias("ys"),
-        (cover / perimeter).alias("overlap"), ((alike(angle(0), angle(2)) + alike(angle(1), angle(3))) / 2).alias("degree"), ((alike(sides[0], sides[2]) + alike(sides[1], sides[3])) / 2).alias("length"),
-        (F.abs(area) * 0.5 / (half * half)).alias("area"), (F.sqrt((mx - 128) * (mx - 128) + (my - 128) * (my - 128)) / (half / 2**0.5)).alias("center"),
+        (total("cover") / total("side")).alias("overlap"), ((alike("angle", 0) + alike("angle", 1)) / 2).alias("degree"), ((alike("side", 0) + alike("side", 1)) / 2).alias("length"),
+        (F.abs(area) * 0.5 / (half * half)).alias("area"), (F.sqrt(off("x") * off("x") + off("y") * off("y")) / (half / 2**0.5)).alias("center"),
     )
     s = cut(s)
     best = s.groupBy(key).agg(F.max("overlap").alias("best__"))
@@ -249,6 +265,14 @@ def scored_squares(corners: DataFrame, key: str, size: float = 512.0, weights: d
     return s.withColumn("score", score)
 
 
+def predicted_squares(lines: DataFrame, key: str, d_step: float = 1.0, t_step: float = 2.0, reach: int = 2, k: int = 200, outside: float = 0.1, inside: float = 0.3, size: float = 512.0, weights: dict[str, float] | None = None) -> DataFrame:
+    """The columns of ``scored_squares`` for lines that are merged on the Hough map before. A merged line is named by its cell:
+    d * 1,000 + t. No more than ``k`` lines of a key reach the corners, which bounds their pairs."""
+    merged = merged_lines(lines, key, d_step, t_step, reach, k)
+    named = cut(merged.select(key, (F.col("d").cast("long") * 1000 + F.col("t")).alias("line"), "x1", "y1", "x2", "y2"))
+    return scored_squares(corners(named, key, outside, inside), key, size, weights)
+
+
 def nearest_match(left: DataFrame, right: DataFrame, threshold: float, key: str = "image") -> DataFrame:
     """Every left line (key, id, x1..y2) with the right line whose two ends lie nearest in sum, the smallest id of
     equals, and matched: both of those ends are nearer than the threshold. An image's lines are few."""

@@ -241,14 +241,15 @@ def dissolved(boxes: DataFrame, key: str) -> DataFrame:
 MOST_ALPHA = 2000
 
 
-def alpha_coverage(inside: DataFrame, key: str = "box", shares: tuple[float, ...] = (), penalty: float = 0.015, largest: float = 0.05, radius: float = 2.0) -> DataFrame:
+def alpha_coverage(inside: DataFrame, key: str = "box", shares: tuple[float, ...] = (), penalty: float = 0.015, largest: float = 0.05, radius: float = 2.0, alpha: float | None = None) -> DataFrame:
     """(key, n, coverage, alpha): area of the alpha shape of a box's points over the box's area.
 
     Expects x, y and x0, y0, x1, y1; n counts all points, the shape is made of the distinct ones. Alpha is
     1 / (2 * median distance to the nearest other point of the box); where the shape has less than 5 % of the box, the
     hull widened by at least 0.75 stands for it as far as it is in the box. With ``shares`` every quantile of those
     distances is tried: an area loses the share ``penalty`` for each further polygon and gains the share ``largest`` of
-    its largest one, and the best wins; without any area the hull stands for it, with alpha 0.
+    its largest one, and the best wins; without any area the hull stands for it, with alpha 0. A given ``alpha`` is taken as
+    it is, and nothing stands for its shape.
 
     Distances are found on all points (``radius`` is where their search begins). Only boxes of more than MOST_ALPHA points
     are thinned, to one per cell, so a group's batch is bounded.
@@ -269,7 +270,9 @@ def alpha_coverage(inside: DataFrame, key: str = "box", shares: tuple[float, ...
         bounds = tuple(float(first[v]) for v in box)
         whole = (bounds[2] - bounds[0]) * (bounds[3] - bounds[1])
         area, used = 0.0, 0.0
-        if whole > 0 and len(p) > (2 if shares else 3) and first["near"] is not None:
+        if alpha is not None:
+            area, used = (kernels.alpha_areas(p, [alpha])[0] if len(p) > 2 else 0.0), alpha
+        elif whole > 0 and len(p) > (2 if shares else 3) and first["near"] is not None:
             if shares:
                 tries = sorted({round(1 / (2 * float(d)), 8) for d in first["near"]}, reverse=True)
                 found = [(sum(a) - penalty * sum(a) * (len(a) - 1) + largest * max(a), -k, sum(a), tries[k]) for k, a in enumerate(kernels.alpha_polygons(p, tries)) if a]

@@ -591,6 +591,13 @@ def l05_decode_lines(spark, d):
     return detect.decode_lines(heat, 0.1, 20.0, 50).select("img", r6("score"), "x1", "y1", "x2", "y2")
 
 
+@query(f"WITH {POINTS_SQL}, h AS (SELECT cls AS img, {_GRID}, 1 / (1 + exp(-max((z - 200) / 100.0))) AS v FROM points GROUP BY 1, 2, 3), m AS (SELECT a.img, a.row, a.col, a.v FROM h a JOIN h b ON a.img = b.img AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2, 3, 4 HAVING a.v = max(b.v)), k AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY v DESC, row, col) AS r FROM m) SELECT img, row, col, round(v, 6) AS score, (col - row)::DOUBLE AS x1, row::DOUBLE AS y1, (col + row)::DOUBLE AS x2, (row + 3)::DOUBLE AS y2, (col + row)::DOUBLE AS sx1, (row + 3)::DOUBLE AS sy1, (col - row)::DOUBLE AS sx2, row::DOUBLE AS sy2 FROM k WHERE r <= 1000 AND v > 0.1 AND sqrt(4.0 * row * row + 9) > 2")
+def l06_training_lines(spark, d):
+    p = points(spark, d).withColumn("img", F.col("cls")).withColumn("z", (F.col("z") - 200) / 100.0)
+    heat = cells.rasterize(p, *pixel(), "max", keys=("img",)).select("img", "row", "col", F.col("z").alias("v"), (-F.col("row")).alias("dx0"), F.lit(0.0).alias("dy0"), F.col("row").cast("double").alias("dx1"), F.lit(3.0).alias("dy1"))
+    return detect.training_lines(heat).select("img", "row", "col", r6("score"), "x1", "y1", "x2", "y2", "sx1", "sy1", "sx2", "sy2")
+
+
 @query(f"WITH {LINES_SQL}, t AS (SELECT *, y2 - y1 AS a, x1 - x2 AS b, (y2 - y1) * x1 + (x1 - x2) * y1 AS c FROM lines), cross_ AS (SELECT p.building, p.line AS la, q.line AS lb, (q.b * p.c - p.b * q.c) / (p.a * q.b - q.a * p.b) AS x, (p.a * q.c - q.a * p.c) / (p.a * q.b - q.a * p.b) AS y FROM t p JOIN t q ON p.building = q.building AND p.line < q.line WHERE abs(p.a * q.b - q.a * p.b) > 1e-9) SELECT building, la AS a, lb AS b, CAST(round(x * 100) AS BIGINT) AS x, CAST(round(y * 100) AS BIGINT) AS y FROM cross_ WHERE abs(x) < 1000 AND abs(y) < 1000")
 def j16_intersections(spark, d):
     out = detect.intersections(lines(spark, d), "building").where("abs(x) < 1000 and abs(y) < 1000")

@@ -253,6 +253,13 @@ def t05_best_squares(spark, d):
     return ordered.top_k(s, 1, order, ("building",)).select("building", "l01", "l12", "l23", "l30", r4(c("score"), "score"))
 
 
+@query()
+def m24_predicted_squares(spark, d):
+    """Squares of the sides of boxes after collinear ones were merged."""
+    s = detect.predicted_squares(box_sides(spark, d), "building", 4.0, 4.0, 1)
+    return s.select("building", "l01", "l12", "l23", "l30", *[r4(c(n), n) for n in ("overlap", "degree", "length", "area", "center", "score")])
+
+
 # --- kernels ----------------------------------------------------------------------------------------------------------
 
 
@@ -308,9 +315,10 @@ def a11b_alpha_choice(spark, d):
 
 @query()
 def m22_pruned_boxes(spark, d):
-    inside = spatial.points_in_boxes(points(spark, d).where("z > 100"), boxes(spark, d), 30.0, 144.0)
-    b = inside.groupBy("box").agg(F.count("*").alias("n"), F.avg((c("z") > 105).cast("double")).alias("coverage")).withColumn("building", F.floor(c("box") / 5).cast("long"))
-    return tiles.pruned(b, "building")
+    """Coverage is that of the alpha shape for a fixed alpha. On the smallest tables points fill no more than half a box."""
+    inside = spatial.points_in_boxes(points(spark, d), boxes(spark, d), 30.0, 144.0)
+    b = tiles.alpha_coverage(inside, alpha=0.1).withColumn("building", F.floor(c("box") / 5).cast("long"))
+    return tiles.pruned(b, "building", least=0.3)
 
 
 # --- samples and scene files ------------------------------------------------------------------------------------------
