@@ -369,9 +369,8 @@ def a25_pixel_f1(spark, d):
 
 @query(f"WITH {POINTS_SQL}, p AS (SELECT cls AS image, id AS pred, y, z FROM points WHERE z > 200), g AS (SELECT cls AS image, id AS gt, y, z FROM points WHERE z < 2), m AS (SELECT image, pred, gt, (p.y - g.y) ** 2 AS dist, row_number() OVER (PARTITION BY image, pred ORDER BY (p.y - g.y) ** 2, gt) AS r FROM p JOIN g USING (image)), c AS (SELECT * FROM m WHERE r = 1) SELECT c.image, c.pred, c.gt, round(c.dist, 6) AS dist, CASE WHEN dist < 25 AND row_number() OVER (PARTITION BY image, gt, dist < 25 ORDER BY pred) = 1 THEN 1 ELSE 0 END AS tp FROM c")
 def j20_greedy_match(spark, d):
-    p = points(spark, d)
-    a, b = p.where("z > 200").select(F.col("cls").alias("image"), F.col("id").alias("pred"), F.col("y").alias("py")), p.where("z < 2").select(F.col("cls").alias("image"), F.col("id").alias("gt"), F.col("y").alias("gy"))
-    pairs = a.join(b, "image").select("image", "pred", "gt", F.pow(F.col("py") - F.col("gy"), 2).alias("d"))
+    p = points(spark, d).withColumn("image", F.col("cls"))
+    pairs = ordered.nearest_truths(p.where("z > 200").withColumnRenamed("id", "pred"), p.where("z < 2").withColumnRenamed("id", "gt"))
     return ordered.greedy_match(pairs, 25.0).select("image", "pred", "gt", F.round("d", 6).alias("dist"), "tp")
 
 

@@ -77,6 +77,6 @@ def m05_dilate_all(spark, d):
 @query()
 def j20_greedy_match_all(spark, d):
     """Points above the ground are matched to ground points of the same user."""
-    a, b = (side(spark, d).select(c("x").cast("long").alias("image"), c("id").alias(i), c("y").alias(y)) for side, i, y in ((upper, "pred", "py"), (ground, "gt", "gy")))
-    pairs = a.join(b, "image").select("image", "pred", "gt", F.pow(c("py") - c("gy"), 2).alias("d"))
+    a, b = (side(spark, d).select(c("x").cast("long").alias("image"), c("id").alias(i), "y") for side, i in ((upper, "pred"), (ground, "gt")))
+    pairs = ordered.nearest_truths(a, b)
     return ordered.greedy_match(pairs, 25.0).select("image", "pred", "gt", r6("d"), "tp")
