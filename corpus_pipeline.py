@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, near_dup, packing, quality_pu, secrets
-from plumbline.llm.common import counted, cut, delete, shared_folder, table
+from plumbline.llm.common import counted, delete, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     itself. Null texts are in no class and all stay; equal empty texts are copies. An empty table stays empty, extra
     columns are carried.
     """
-    told = cut(near_dup.near_duplicates(docs.select(row_key(docs).alias("key__"), "text"), id_col="key__"))
+    told = near_dup.near_duplicates(docs.select(row_key(docs).alias("key__"), "text"), id_col="key__")
     rest = without(docs, told.where("key__ <> class_id").select("key__").distinct())
     again = told.where("key__ = class_id and n_copies > 1").groupBy("key__").count().where("count > 1").select("key__")
     if again.isEmpty():

@@ -44,10 +44,20 @@ def shared_folder(spark: SparkSession) -> str:
     return there
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
+def gathered(df: DataFrame) -> DataFrame:
+    """``df``, which should end in a shuffle, in an eighth of its partitions, three a core at least: fewer files are written.
+
+    For every file in a local folder Hadoop starts processes that set its mode, and until such a process runs its own
+    program it shows the whole memory of the executor that started it once more.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(3 * spark.sparkContext.defaultParallelism, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)))
+
+
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there; ``few``: see ``gathered``."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (gathered(df) if few else df).checkpoint(eager=True)
 
 
 class Workspace:
@@ -68,9 +78,9 @@ class Workspace:
         self.spark.conf.set(self._CLEANUP, "true")
         return self
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, few: bool = False) -> DataFrame:
         path = f"{self.folder}/{len(self.tables)}"
-        df.write.parquet(path)
+        (gathered(df) if few else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((out, path))
         return out
@@ -97,7 +107,7 @@ MOST_BROADCAST = 16 << 20
 
 def counted(ids: DataFrame, work: Workspace | None = None) -> DataFrame:
     """``ids`` (one column, written first), to be broadcast if it has at most MOST_BROADCAST bytes, else joined as any table."""
-    ids = work.cut(ids) if work else cut(ids)
+    ids = work.cut(ids, few=True) if work else cut(ids, few=True)
     kind = ids.schema[0].dataType
     width = F.lit(8) if isinstance(kind, T.NumericType) else F.coalesce(F.length(F.col(ids.columns[0]).cast("string")), F.lit(0))
     size = ids.agg(F.sum(width.cast("long") + 16)).first()[0] or 0

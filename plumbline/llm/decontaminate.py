@@ -59,12 +59,12 @@ def contamination(
     """
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), words(F.col(text_col)).alias("w"))
     with Workspace(docs.sparkSession) as work:
-        holders = work.cut(item_windows(benchmark, item_col, item_text_col, size))
-        windows = work.cut(holders.select("key", "window").distinct())
+        holders = work.cut(item_windows(benchmark, item_col, item_text_col, size), few=True)
+        windows = work.cut(holders.select("key", "window").distinct(), few=True)
         n_blocks = max(1, -(-windows.count() // block))
         found: DataFrame | None = None
         for k in range(n_blocks):
-            own = work.cut(rarest(docs, windows.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == k), text_col))
+            own = work.cut(rarest(docs, windows.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == k), text_col), few=True)
             # One row beyond the last word stands for the document itself, so that those without any hit stay.
             dealt = source.select("id", "print", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("at", "word"))
             at = F.col("at") - F.col("place")
@@ -76,12 +76,12 @@ def contamination(
             found = met if found is None else found.union(met)
         rows = work.cut(found.groupBy("id", "print").agg(
             F.max("n_words").alias("n_words"), F.count(F.when(F.col("self"), 1)).alias("times"), F.array_sort(F.collect_set("hit")).alias("hits"), F.collect_set("key").alias("keys"),
-        ))
+        ), few=True)
         # Items come by the keys of the windows that occur: a plain join, in which a common passage may be split.
         met = rows.where("size(keys) > 0").select("id", "print", F.explode("keys").alias("key")).join(holders.select("key", "item"), "key").select("id", "print", "item").distinct()
         met = met.groupBy(F.col("id").alias("i"), F.col("print").alias("p")).agg(F.array_sort(F.collect_list("item")).alias("items"))
         rows = rows.drop("keys").join(met, rows["id"].eqNullSafe(met["i"]) & rows["print"].eqNullSafe(met["p"]), "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-        return cut(_told(rows, id_col))
+        return cut(_told(rows, id_col), few=True)
 
 
 def _told(rows: DataFrame, id_col: str) -> DataFrame:

@@ -163,7 +163,7 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     Alternates the large-star and the small-star step until every edge leads from a vertex to its component's name. All
     of it stays in tables: the driver sees one yes or no a round.
     """
-    now = work.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = work.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), few=True)
     while True:
         ends = now.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
         if ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
@@ -173,7 +173,7 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        before, now = now, work.cut(small.select(F.col("a"), F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b"), F.col("m"))).distinct())
+        before, now = now, work.cut(small.select(F.col("a"), F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b"), F.col("m"))).distinct(), few=True)
         work.drop(before)
 
 
@@ -216,7 +216,7 @@ def near_duplicates(
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     with Workspace(docs.sparkSession) as work:
-        return cut(_classes(source, work, threshold, size, bands, rows)).withColumnRenamed("id", id_col)
+        return cut(_classes(source, work, threshold, size, bands, rows), few=True).withColumnRenamed("id", id_col)
 
 
 def _classes(source: DataFrame, work: Workspace, threshold: float, size: int, bands: int, rows: int) -> DataFrame:
@@ -224,29 +224,29 @@ def _classes(source: DataFrame, work: Workspace, threshold: float, size: int, ba
     sketch = work.cut(source.mapInArrow(_sketcher(bands, rows, size), f"id {kind}, digest binary, bands array<long>"))
     whole = sketch.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n_copies"), F.first("bands", ignorenulls=True).alias("bands"))
     # Vertices get their numbers once, when this table is written.
-    whole = work.cut(whole.withColumn("v", F.monotonically_increasing_id()))
+    whole = work.cut(whole.withColumn("v", F.monotonically_increasing_id()), few=True)
     told = whole.select("v", F.explode("bands").alias("band"))
     shared = told.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = work.cut(told.join(shared, "band").groupBy("v").agg(F.sum("n").alias("reach"), F.collect_list("band").alias("bands")))
+    members = work.cut(told.join(shared, "band").groupBy("v").agg(F.sum("n").alias("reach"), F.collect_list("band").alias("bands")), few=True)
 
     placed = members.select("v", "reach", F.explode("bands").alias("band"))
     center = placed.groupBy("band").agg(F.max(F.struct("reach", "v")).alias("top")).select("band", F.col("top.v").alias("center"))
     best = placed.join(center, "band").where("v <> center").groupBy("v").agg(F.mode("center", True).alias("center"))
-    tried = work.cut(best.select(F.greatest("v", "center").alias("a"), F.least("v", "center").alias("b")).distinct())
-    elements = work.cut(_elements(source, whole.select("v", "digest", "id").join(members.select("v"), "v", "left_semi"), size, work))
-    first = work.cut(components(_verified(tried, elements, threshold), work))
+    tried = work.cut(best.select(F.greatest("v", "center").alias("a"), F.least("v", "center").alias("b")).distinct(), few=True)
+    elements = work.cut(_elements(source, whole.select("v", "digest", "id").join(members.select("v"), "v", "left_semi"), size, work), few=True)
+    first = work.cut(components(_verified(tried, elements, threshold), work), few=True)
 
     named = members.join(first.withColumnRenamed("vertex", "v"), "v", "left").select("v", F.coalesce("component", "v").alias("component"), F.explode("bands").alias("band"))
     mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    opened = work.cut(named.join(mixed, "band", "left_semi").groupBy("v", "component").agg(F.collect_list("band").alias("bands")))
+    opened = work.cut(named.join(mixed, "band", "left_semi").groupBy("v", "component").agg(F.collect_list("band").alias("bands")), few=True)
     held = elements.join(opened.select("v"), "v", "left_semi").select("v", F.explode("elements").alias("e"))
     holders = held.groupBy("e").agg(F.count("*").alias("k")).where(F.col("k") <= RARE)
-    rare = work.cut(held.join(holders, "e"))
+    rare = work.cut(held.join(holders, "e"), few=True)
     few = rare.groupBy("v").agg(F.count(F.when(F.col("k") == 1, 1)).alias("own"), F.count("*").alias("rare"))
     # cap: the most elements that a vertex can share with another open one; rcap: with one that shares no rare element.
     zero = F.lit(0)
     facts = opened.join(elements.select("v", "n"), "v").join(few, "v", "left")
-    facts = work.cut(facts.select("v", "component", "bands", "n", (F.col("n") - F.coalesce("own", zero)).alias("cap"), (F.col("n") - F.coalesce("rare", zero)).alias("rcap")))
+    facts = work.cut(facts.select("v", "component", "bands", "n", (F.col("n") - F.coalesce("own", zero)).alias("cap"), (F.col("n") - F.coalesce("rare", zero)).alias("rcap")), few=True)
 
     low = threshold - 1e-9
     # Members outside the largest component of a bucket, and the lengths of partners with whom the threshold is in reach.
@@ -254,7 +254,7 @@ def _classes(source: DataFrame, work: Workspace, threshold: float, size: int, ba
     home = open_.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "component")).alias("home"))
     shortest, longest = F.col("n") * low, lambda most: F.least(F.col("n") / low, F.col(most) * (1 + low) / low - F.col("n"))
     outside = open_.join(home, "band").where((F.col("component") != F.col("home.component")) & (longest("cap") >= shortest))
-    outside = work.cut(outside.select("band", "v", "component", "n", "cap", "rcap"))
+    outside = work.cut(outside.select("band", "v", "component", "n", "cap", "rcap"), few=True)
     # First the partners that share a rare element, at most RARE for each element; then, for those that could reach the
     # threshold without one, the members of their buckets.
     several = rare.where("k > 1").select("e", "v")
@@ -268,13 +268,13 @@ def _classes(source: DataFrame, work: Workspace, threshold: float, size: int, ba
     wide = wide.select("band", "step", F.col("v").alias("a"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("rcap").alias("most"))
     far = wide.join(open_.withColumn("step", step(F.col("n"))), ["band", "step"]).where((F.col("c") != F.col("component")) & enough("rcap")).select("a", "v")
     crossing = near.union(far).select(F.greatest("a", "v").alias("a"), F.least("a", "v").alias("b")).distinct()
-    second = work.cut(_verified(crossing.join(tried, ["a", "b"], "left_anti"), elements, threshold))
+    second = work.cut(_verified(crossing.join(tried, ["a", "b"], "left_anti"), elements, threshold), few=True)
     name = lambda c, to: first.select(F.col("vertex").alias(c), F.col("component").alias(to))
     joined = second.join(name("a", "ca"), "a", "left").join(name("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(joined, work).select(F.col("vertex").alias("component"), F.col("component").alias("final"))
 
     classes = whole.select("v", "digest", "id", "n_copies").join(first.withColumnRenamed("vertex", "v"), "v", "left").withColumn("component", F.coalesce("component", "v")).join(merged, "component", "left")
-    classes = work.cut(classes.select("digest", "id", "n_copies", F.coalesce("final", "component").alias("class")))
+    classes = work.cut(classes.select("digest", "id", "n_copies", F.coalesce("final", "component").alias("class")), few=True)
     ids = classes.groupBy("class").agg(F.min("id").alias("class_id"))
     told = classes.join(ids, "class").select("digest", "class_id", "n_copies")
     rest = sketch.select("id", "digest")

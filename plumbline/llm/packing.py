@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import Workspace, cut
+from plumbline.llm.common import Workspace, cut, gathered
 
 SIZE, END_ID = 2048, 1
 #: Rows, about, of the groups in which the pieces of one length are ranked.
@@ -187,10 +187,10 @@ def pack(parts: DataFrame, size: int = SIZE, rows: int = RANKED_ROWS) -> DataFra
         if groups:
             deal = F.pmod(F.xxhash64("row"), F.element_at(F.create_map(*[F.lit(x) for n, k in sorted(groups.items()) for x in (n, k)]), F.col(length)))
         salted = rest.withColumn("salt", deal.cast("long"))
-        counts = work.cut(salted.groupBy(F.col(length).alias("n"), "salt").agg(F.count("*").alias("k")))
-        before = cut(counts.select("n", "salt", (F.sum("k").over(Window.partitionBy("n").orderBy("salt")) - F.col("k")).alias("before")))
+        counts = work.cut(salted.groupBy(F.col(length).alias("n"), "salt").agg(F.count("*").alias("k")), few=True)
+        before = cut(counts.select("n", "salt", (F.sum("k").over(Window.partitionBy("n").orderBy("salt")) - F.col("k")).alias("before")), few=True)
     ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy(length, "salt").orderBy("row")))
-    ranked = ranked.join(before, (ranked[length] == before["n"]) & (ranked["salt"] == before["salt"])).select((F.col("before") + F.col("nth") - 1).alias("rank"), *inner)
+    ranked = gathered(ranked.join(before, (ranked[length] == before["n"]) & (ranked["salt"] == before["salt"])).select((F.col("before") + F.col("nth") - 1).alias("rank"), *inner))
     at = inner.index(length) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, prio
     kind = rows.schema["id"].dataType.simpleString()
     stats = rows.select("text", "id").mapInArrow(_featurize, f"id {kind}, x array<float>")
     with Workspace(docs.sparkSession) as work:
-        data = work.cut(stats.join(marks, "id", "left").select((F.coalesce("mark", F.lit(0)) == 1).alias("positive"), "x"))
+        data = work.cut(stats.join(marks, "id", "left").select((F.coalesce("mark", F.lit(0)) == 1).alias("positive"), "x"), few=True)
         spread = _summed(data, lambda p, x: np.concatenate([[len(p), p.sum()], x.sum(0), (x * x).sum(0)]))
         width = inputs([None]).shape[1]
         start = prior or 0.5

@@ -1,10 +1,11 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
-from plumbline.llm import near_dup
+from plumbline.llm import common, near_dup
 
 
 def brute(rows, threshold=0.8, size=5):
@@ -96,3 +97,26 @@ def test_signature_estimates_weighted_jaccard():
     a, b = rng.integers(1, 6, 300) * 0.4, rng.integers(1, 6, 300) * 0.4
     s = near_dup.signatures(np.repeat([0, 1], 300), np.concatenate([values, values]), np.concatenate([a, b]), 2, 6000)
     assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
+
+
+def test_tables_of_small_results_are_few_files(spark, monkeypatch):
+    """With 200 partitions a shuffle and none merged, a table of 100 rows was written as more than 25 files."""
+    held = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    df = spark.createDataFrame([(i, " ".join(f"w{i // 3}x{j}" for j in range(40))) for i in range(300)], "doc_id long, text string")
+    files, delete = [], common.delete
+
+    def told(session, path):
+        files.extend(len(list(t.glob("*.parquet"))) for t in Path(path.removeprefix("file:")).iterdir())
+        delete(session, path)
+
+    monkeypatch.setattr(common, "delete", told)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = near_dup.near_duplicates(df)
+        assert {(r["doc_id"], r["class_id"], r["n_copies"]) for r in out.collect()} == {(i, i // 3 * 3, 3) for i in range(300)}
+        assert 0 < max(files) <= 25
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
